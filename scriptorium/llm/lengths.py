@@ -27,9 +27,9 @@ def token_lengths(docs: DataFrame, vocabulary: str, text_col: str = "text", end_
     """One row per document: n_tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(vocabulary).ids
+        each = encoder(vocabulary).each
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(ids(x.as_py())) // 4 + end_tokens for x in batch.column(0)], pa.int64())], ["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 + end_tokens for x in each(t.as_py() for t in batch.column(0))], pa.int64())], ["n_tokens"])
 
     return docs.select(text_col).mapInArrow(count, "n_tokens long")
 

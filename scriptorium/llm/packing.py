@@ -41,11 +41,11 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """Each document's pieces; copy tells rows that repeat an id apart within a batch."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end, step = encoder(vocabulary).ids, end_id.to_bytes(4, "little"), 4 * length
+        each, end, step = encoder(vocabulary).each, end_id.to_bytes(4, "little"), 4 * length
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                data = ids(text) + end
+            for i, (doc, ids) in enumerate(zip(batch.column(0).to_pylist(), each(t.as_py() for t in batch.column(1)))):
+                data = ids + end
                 for n, at in enumerate(range(0, len(data), step)):
                     part = data[at : at + step]
                     for column, x in zip(rows, (doc, i, n, at // 4, len(part) // 4, zlib.crc32(part))):

@@ -1,18 +1,37 @@
 """Token ids of whole texts, by the tokenizers library, with a memory for repeated words.
 
-A tokenizer whose pre-tokenizer never lets a token cross white space gives the same ids
+A tokenizer that drops white space and never lets a token cross it gives the same ids
 for a text as for its space-separated chunks one after the other. Chunks recur, so each
-Python worker keeps the ids of those that it has met, up to ``MEMORY`` chunks; then it
-starts over. The memory saves time only: the ids are those of the whole text.
+Python worker keeps the ids of chunks that it has met, in two generations of ``MEMORY``
+chunks each: what the older one has and is met again moves to the younger. Where the
+tokenizer also lowers case and cuts between letters and signs, a text of Latin-1
+characters is lowered and gets a space there first, so more chunks are alike. The
+memory saves time only: the ids are those of the whole text.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
-#: Chunks that a worker remembers, and the longest that it remembers, in characters.
-MEMORY, LONGEST = 300_000, 48
+import numpy as np
+
+#: Chunks in a generation, the longest that is kept, in characters, and characters of texts that are worked on together.
+MEMORY, LONGEST, GROUP = 300_000, 48, 4_000
+
+# kinds of Latin-1 characters: letters and numbers, signs but for the apostrophe, and the rest
+_KIND = np.zeros(256, np.uint8)
+for _i in range(33, 256):
+    if chr(_i).isalnum():
+        _KIND[_i] = 1
+    elif _i < 127 and _i != 39:
+        _KIND[_i] = 2
+
+# how byte-level tokenizers write bytes: printable ones as they are, the others from 256 on
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: b for b in _PLAIN} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -25,30 +44,71 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _direct(self, chunks: list[str]) -> Iterator[bytes]:
-        import numpy as np
-
-        for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
-            yield np.asarray(e.ids, "<u4").tobytes()
+        with open(vocabulary) as f:
+            told = json.load(f)
+        normalizers = [n.get("type") for n in (told.get("normalizer") or {}).get("normalizers", [])]
+        patterns = [(p.get("pattern") or {}).get("Regex", "") for p in (told.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.words = normalizers == ["NFC", "Replace", "Lowercase"] and any(p.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") for p in patterns) and "ByteLevel" in [p.get("type") for p in told["pre_tokenizer"]["pretokenizers"]]
+        self.special = [t["content"][:2] for t in told.get("added_tokens", [])]
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _chunks(self, text: str) -> list[str]:
+        if self.words and not any(s in text for s in self.special):
+            try:
+                b = np.frombuffer(text.lower().encode("latin-1"), np.uint8)
+            except UnicodeEncodeError:
+                pass
+            else:
+                k = _KIND[b]
+                at = np.flatnonzero((k[:-1] == 1) & (k[1:] == 2)) + 1
+                text = np.insert(b, at, 32).tobytes().decode("latin-1")
+        return text.replace("\n", " ").split(" ")
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text (null: empty) without special tokens."""
-        if not text:
-            return b""
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            missing = list({c for c in chunks if c not in self.known})
-        found = dict(zip(missing, self._direct(missing), strict=True))
-        known = self.known
-        out = b"".join([known[c] if c in known else found[c] for c in chunks])
-        if len(known) + len(found) > MEMORY:
-            known.clear()
-            known[""] = b""
-        known.update((c, i) for c, i in found.items() if len(c) <= LONGEST)
+        return self._group([text or ""])[0]
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order; texts are worked on in groups of about ``GROUP`` characters."""
+        group: list[str] = []
+        chars = 0
+        for text in texts:
+            group.append(text or "")
+            chars += len(group[-1])
+            if chars >= GROUP:
+                yield from self._group(group)
+                group, chars = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        if not self.words:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        chunks = [self._chunks(t) for t in texts]
+        young, old, tokenize = self.young, self.old, self.tokenizer.model.tokenize
+        long: list[str] = []
+        if missing := set().union(*chunks).difference(young):
+            fresh = []
+            for c in missing:
+                known = old.get(c)
+                if known is None:
+                    fresh.append(c)
+                else:
+                    young[c] = known
+            other = []
+            for c in fresh:
+                if c.isalpha() and c == c.lower() and max(c) < "\u0100":  # one word, as the model gets it: no need to normalise and cut
+                    young[c] = array("I", [t.id for t in tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+                else:
+                    other.append(c)
+            for c, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+                young[c] = array("I", e.ids).tobytes()
+            long += [c for c in fresh if len(c) > LONGEST]
+        out = [b"".join(map(young.__getitem__, c)) for c in chunks]
+        for c in long:
+            del young[c]
+        if len(young) > MEMORY:
+            self.old, self.young = young, {"": b""}
         return out
 
 

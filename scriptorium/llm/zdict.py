@@ -144,9 +144,9 @@ def write(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "
     end = end_id.to_bytes(4, "little")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(vocabulary).ids
+        each = encoder(vocabulary).each
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([serialised((ids(t) + end)[: 4 * SHARE], width) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([serialised((ids + end)[: 4 * SHARE], width) for ids in each(batch.column(1).to_pylist())], pa.binary())], ["doc_id", "data"])
 
     picked = near.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample).mapInArrow(encoded, "doc_id long, data binary")
     dictionary = train([bytes(r["data"]) for r in picked.collect()], dictionary_size)
@@ -160,9 +160,9 @@ def write(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids = encoder(vocabulary).ids
+        each = encoder(vocabulary).each
         uri = f"{root}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids"
-        rows = ((doc, ids(text.as_py()) + end) for batch in batches for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)))
+        rows = ((doc, ids + end) for batch in batches for doc, ids in zip(batch.column(0).to_pylist(), each(t.as_py() for t in batch.column(1))))
         first = next(rows, None)
         if first is None:
             return
