@@ -179,14 +179,15 @@ def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     cut = ws.save(d.mapInArrow(_chunker, "doc_id long, digest binary, size int"), "chunks")
     kept = cut.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
-    later = cut.join(kept, "digest").where("first < doc_id")
+    # the sides grow with the documents, so they are merged at any size
+    later = cut.join(kept.hint("merge"), "digest").where("first < doc_id")
     pairs = later.groupBy("doc_id", "first").agg(F.sum("size").alias("shared")).where(F.col("shared") >= SHARED)
     pairs = ws.save(pairs.select("doc_id", F.col("first").alias("first_doc_id")), "pairs")
     ws.drop(cut)
-    needed = ws.save(pairs.select("doc_id").union(pairs.select("first_doc_id")).distinct(), "needed")
-    texts = ws.save(d.where("text is not null").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
-    firsts = texts.select(F.col("doc_id").alias("first_doc_id"), F.col("text").alias("keeper"))
-    both = pairs.join(firsts, "first_doc_id").join(texts, "doc_id").select("doc_id", "first_doc_id", "text", "keeper")
+    # both joins read the texts of one shuffle by id
+    texts = d.where("text is not null")
+    keepers = texts.withColumnsRenamed({"doc_id": "first_doc_id", "text": "keeper"})
+    both = pairs.hint("merge").join(texts, "doc_id").hint("merge").join(keepers, "first_doc_id").select("doc_id", "first_doc_id", "text", "keeper")
     return both.mapInArrow(_spanner(words), SPANS)
 
 
