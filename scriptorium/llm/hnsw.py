@@ -34,7 +34,9 @@ from scriptorium.plans.components import connected_components
 from scriptorium.plans.workspace import Workspace
 
 COSINE = 0.9
-SHARD_ROWS = 2048
+SHARD_ROWS = 32768
+#: Vectors that one task searches for in one shard.
+SLICE = 8192
 #: Links of a node above the lowest level (twice as many there), beam while building, first beam and widest beam of searches.
 LINKS, BUILD_BEAM, BEAM, WIDEST = 16, 48, 24, 768
 AUDIT, RECALL = 32, 0.995
@@ -267,6 +269,16 @@ def _builder(table: pa.Table) -> pa.Table:
 GRAPHS = "shard long, d int, ids binary, mult binary, x binary, links array<binary>, widths array<int>"
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors of a shard in parts of SLICE, as queries."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            shard, d, ids, mult, x = (batch.column(k)[n].as_py() for k in range(5))
+            for at in range(0, len(ids) // 8, SLICE):
+                own = slice(8 * at, 8 * (at + SLICE))
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([ids[own]], pa.binary()), pa.array([mult[own]], pa.binary()), pa.array([x[8 * d * at : 8 * d * (at + SLICE)]], pa.binary())], ["q_shard", "q_ids", "q_mult", "q_x"])
+
+
 def _graph(x: np.ndarray, links: list[bytes], widths: list[int]) -> Graph:
     tables = [np.frombuffer(links[0], "<i4").reshape(-1, widths[0]).astype(np.int64)]
     for blob, width in zip(links[1:], widths[1:]):
@@ -306,9 +318,9 @@ def _linker(cosine: float):
                 graph = _graph(x.astype(np.float32), row["links"], row["widths"])
                 a, b, _ = audited(graph, q.astype(np.float32), cosine - 1e-5)
                 own = row["shard"] == row["q_shard"]
-                if own:
-                    both = np.unique(np.r_[np.c_[a, b], np.c_[b, a]], axis=0)
-                    a, b = both[both[:, 0] != both[:, 1]].T
+                if own:  # the other direction is found by the other vector's search
+                    apart = ids_q[a] != ids_x[b]
+                    a, b = a[apart], b[apart]
                 exact = np.zeros(len(a))
                 for s in range(0, len(a), 65536):
                     exact[s : s + 65536] = np.einsum("nd,nd->n", q[a[s : s + 65536]], x[b[s : s + 65536]])
@@ -332,7 +344,8 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_
     keyed = ws.save(v.mapInArrow(_keys, "vec_id long, key binary, embedding array<double>"), "vectors")
     usable = keyed.where("key is not null and vec_id is not null")
     distinct = ws.save(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("mult"), F.first("embedding").alias("embedding")), "distinct")
-    shards = max(1, math.ceil(distinct.count() / shard_rows))
+    distinct_rows = distinct.count()
+    shards = max(1, math.ceil(distinct_rows / shard_rows))
     dealt = distinct.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("part"), F.size("embedding").alias("d"), "rep", "mult", "embedding")
     dealt = dealt.withColumn("shard", F.col("d").cast("long") * 2**32 + F.col("part")).drop("part", "d")
     graphs = ws.save(dealt.groupBy("shard").applyInArrow(_builder, GRAPHS), "graphs")
@@ -340,9 +353,9 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_
     names = graphs.select("shard", "d")
     # shards of one length, numbered pairs; a stated set of queries (blocks) against every shard
     pairs = names.groupBy("d").agg(F.array_sort(F.collect_list("shard")).alias("s")).select(F.posexplode("s").alias("i", "q_shard"), "s").select("q_shard", F.explode(F.slice("s", F.col("i") + 1, F.size("s"))).alias("shard"))
-    asked = graphs.select(F.col("shard").alias("q_shard"), F.col("ids").alias("q_ids"), F.col("mult").alias("q_mult"), F.col("x").alias("q_x"))
-    n_pairs = shards * (shards + 1) // 2
-    work = pairs.join(graphs, "shard").join(asked, "q_shard").repartition(max(1, n_pairs // 2), "q_shard", "shard")
+    asked = graphs.select("shard", "d", "ids", "mult", "x").mapInArrow(_slices, "q_shard long, q_ids binary, q_mult binary, q_x binary")
+    tasks = max(1, math.ceil(distinct_rows / SLICE) * shards)
+    work = pairs.join(asked, "q_shard").join(graphs, "shard").repartition(tasks, "q_shard", "shard", F.xxhash64("q_ids"))
     found = ws.save(work.mapInArrow(_linker(cosine), "u long, v long, n long"), "links")
 
     counts = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("others"))
