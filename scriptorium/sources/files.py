@@ -32,7 +32,7 @@ def contents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFr
 def plain_text(files: DataFrame) -> DataFrame:
     """``files`` with the text of the formats that are text."""
     is_text = F.col("suffix").isin(".md", ".txt", ".rst", ".html", ".htm")
-    return files.withColumn("text", F.when(is_text, F.decode("content", F.lit("UTF-8"))))
+    return files.withColumn("text", F.when(is_text, F.decode("content", "UTF-8")))
 
 
 def extracted(files: DataFrame, extractor: Callable[[str, bytes], str | None]) -> DataFrame:
