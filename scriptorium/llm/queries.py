@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import cdc, chat, cws, dartminhash, hnsw, lengths, packing, pfair, quality, zdict
+from scriptorium.llm.oracle import ORACLES
 from scriptorium.llm.tokens import default_vocabulary
 
 
@@ -57,4 +58,4 @@ def op10_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_dartminhash, op2_pfair_mix, op3_quality, op4_cws_fingerprints, op5_hnsw, op6_chat_perspectives, op7_length_histogram, op8_id_files, op9_best_two_fit, op10_gear_chunks)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
