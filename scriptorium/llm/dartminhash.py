@@ -18,8 +18,8 @@ Links. Documents that agree in all rows of some band are candidates: each bucket
 compares its members with its least member (a star), since most copies join a class
 this way without any pair between them. Where members of one bucket are still in
 different classes, small buckets compare all members of different classes, and larger
-ones go on with stars around other members until a round changes no class. Every
-candidate pair is checked against the exact similarity of the whole texts.
+ones go on with stars around ``HUBS`` other members at a time until two rounds change no
+class. Every candidate pair is checked against the exact similarity of the whole texts.
 
 Defined results. A null text is an empty one. Texts with the same words are one text
 (without any word: the same text), hence in one class; an empty class of words links to
@@ -46,9 +46,11 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 7
 #: Characters that a worker shingles at a time.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 250_000
 #: Largest bucket whose members of different classes are all compared.
-SMALL_BUCKET = 64
+SMALL_BUCKET = 200
+#: Members that a round compares with the others of a larger bucket.
+HUBS = 16
 
 _NOT_WORD = re.compile(r"[\W_]+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -163,26 +165,28 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _runs(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Texts, by words, in runs of about BATCH_CHARS characters: (number of the first, texts)."""
-    start, run, chars = 0, [], 0
+def _runs(texts: pa.Array) -> Iterator[tuple[int, list[str], list[str]]]:
+    """Runs of about BATCH_CHARS characters: number of the first text, words of each, and each text that has no words."""
+    start, run, bare, chars = 0, [], [], 0
     for i, text in enumerate(texts):
-        run.append(normal(text))
+        raw = text.as_py() or ""
+        run.append(normal(raw))
+        bare.append("" if run[-1] else raw)
         chars += len(run[-1])
         if chars >= BATCH_CHARS:
-            yield start, run
-            start, run, chars = i + 1, [], 0
+            yield start, run, bare
+            start, run, bare, chars = i + 1, [], [], 0
     if run:
-        yield start, run
+        yield start, run, bare
 
 
 def _sketcher(bands: int, rows: int, size: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, words in _runs(texts):
+            ids = batch.column(0)
+            for start, words, bare in _runs(batch.column(1)):
                 once: dict[bytes, int] = {}
-                digest = [hashlib.blake2b((w or "\0" + (t or "")).encode("utf-8", "surrogatepass"), digest_size=16).digest() for w, t in zip(words, texts[start : start + len(words)])]
+                digest = [hashlib.blake2b((w or "\0" + t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for w, t in zip(words, bare)]
                 which = np.array([once.setdefault(x, len(once)) for x in digest])
                 kept = [""] * len(once)
                 for i, w in zip(which, words):
@@ -199,8 +203,8 @@ def _sketcher(bands: int, rows: int, size: int):
 def _bagger(size: int):
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, words in _runs(texts):
+            ids = batch.column(0)
+            for start, words, _ in _runs(batch.column(1)):
                 doc, cell = cells(*shingle_hashes(words, size))
                 order = np.lexsort((cell, doc))
                 bounds = np.searchsorted(doc[order], np.arange(len(words) + 1))
@@ -255,27 +259,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     links = tried.where(F.col("similarity") >= similarity).select("u", "v")
     classes = ws.save(connected_components(links, ws), "classes")
 
-    turn, seen = 0, None
-    while True:
+    turn, idle = 0, 0
+    while idle < 2:
         named = members.join(classes.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("c"))
-        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("center")).where("low < high")
-        open_ = ws.save(named.join(mixed.select("key", "center"), "key"), "open")
-        a, b = open_.where(F.col("n") <= small_bucket).alias("a"), open_.where(F.col("n") <= small_bucket).alias("b")
-        few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c"))).select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v"))
-        hub = open_.where(F.col("rep") == F.col("center")).select("key", F.col("c").alias("hub"))
-        many = open_.where(F.col("n") > small_bucket).join(hub, "key").where("c <> hub").select(F.least("rep", "center").alias("u"), F.greatest("rep", "center").alias("v"))
-        fresh = many if turn else few.union(many)
+        hubs = F.array_distinct(F.array(*(F.min_by("rep", F.xxhash64("rep", F.lit(HUBS * turn + i))) for i in range(HUBS))))
+        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), hubs.alias("hubs")).where("low < high")
+        open_ = ws.save(named.join(mixed.select("key", "hubs"), "key"), "open")
+        large = open_.where(F.col("n") > small_bucket)
+        hub = large.where(F.array_contains("hubs", F.col("rep"))).select("key", F.col("rep").alias("hub"), F.col("c").alias("of"))
+        fresh = large.join(hub, "key").where("c <> of").select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v"))
+        if not turn:
+            a, b = open_.where(F.col("n") <= small_bucket).alias("a"), open_.where(F.col("n") <= small_bucket).alias("b")
+            few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")))
+            fresh = fresh.union(few.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")))
         fresh = ws.save(fresh.distinct().join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "fresh")
+        turn += 1
         if fresh.isEmpty():
-            break
+            if large.isEmpty():
+                break
+            idle += 1
+            continue
         more = ws.save(checked(fresh), "more")
         tried = tried.union(more)
         found = more.where(F.col("similarity") >= similarity).select("u", "v")
         if found.isEmpty():
-            break
+            idle += 1
+            continue
+        idle = 0
         joined = classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found)
         classes = ws.save(connected_components(joined, ws), "classes")
-        turn += 1
 
     by_digest = texts.select("digest", "rep").join(classes.withColumnsRenamed({"node": "rep"}), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     return own.select("doc_id", "digest").join(by_digest, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept")).union(sketch.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(True)))
