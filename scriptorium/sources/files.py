@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import subprocess
+import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -62,6 +63,45 @@ PDF_TEXT = program("pdftotext", "-layout", "-", "-")
 MARKDOWN = program("pandoc", "-t", "markdown_strict", "--wrap=none")
 
 
+def ocr(most_pages: int | None = None, dpi: int = 300) -> Callable[[str, bytes], str | None]:
+    """An extractor that reads the pages of a PDF as images; pages are joined by form feeds, a failing page is empty, missing programs give null."""
+
+    def run(suffix: str, content: bytes) -> str | None:
+        if suffix != ".pdf":
+            return None
+        with tempfile.TemporaryDirectory() as folder:  # of the task alone, gone when it ends
+            last = ["-l", str(most_pages)] if most_pages else []
+            try:
+                subprocess.run(["pdftoppm", "-r", str(dpi), "-png", *last, "-", f"{folder}/page"], input=content, capture_output=True, check=True)
+            except (OSError, subprocess.CalledProcessError):
+                return None
+            pages = []
+            for image in sorted(Path(folder).glob("*.png")):
+                try:
+                    pages.append(subprocess.run(["tesseract", str(image), "stdout"], capture_output=True, check=True).stdout.decode("utf-8", "replace"))
+                except OSError:
+                    return None
+                except subprocess.CalledProcessError:
+                    pages.append("")
+        return "\f".join(pages)
+
+    return run
+
+
+def with_ocr(files: DataFrame, least: int = 50) -> DataFrame:
+    """(path, text): a PDF's own text, or that of its images where a page has fewer than ``least`` characters in the mean."""
+    read = ocr()
+
+    def run(suffix: str, content: bytes) -> str | None:
+        text = PDF_TEXT(suffix, content) if suffix == ".pdf" else MARKDOWN(suffix, content)
+        pages = [p for p in (text or "").split("\f") if p.strip()]
+        if suffix == ".pdf" and sum(map(len, pages)) < least * max(1, len(pages)):
+            return read(suffix, content) or text
+        return text
+
+    return extracted(files, run)
+
+
 def info_map(text) -> object:
     """A map of the ``key: value`` lines of a Column of program output."""
     rows = F.filter(F.split(text, "\n"), lambda x: x.contains(":"))

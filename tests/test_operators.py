@@ -196,7 +196,9 @@ def test_files(spark, tmp_path):
     assert [r["text"] for r in files.extracted(files.contents(spark, str(tmp_path)), lambda s, c: s).orderBy("text").collect()] == [".md", ".txt"]
     files.write_json(str(tmp_path / "o" / "x.json"), {"overrides": {"a": {"title": "T"}}})
     assert files.overrides(spark, str(tmp_path / "o" / "x.json")).first()["doc_id"] == "a"
-    assert files.program("no-such-program")(".pdf", b"") is None
+    assert files.program("no-such-program")(".pdf", b"") is None and files.ocr()(".txt", b"") is None and files.ocr()(".pdf", b"no pdf") is None
+    x = spark.createDataFrame([("Title: A: B\nPages: 3\nnoise",)], "x string").select(files.info_map(F.col("x")).alias("m")).first()["m"]
+    assert x == {"Title": "A: B", "Pages": "3"}
     seen = []
     incremental.watch(spark, str(tmp_path), str(tmp_path / "cp"), lambda df, n: seen.append(df.count())).awaitTermination()
     assert sum(seen) >= 4
