@@ -17,7 +17,8 @@ within the partitions.
 
 Defined results. A null or empty text has no terms and a fingerprint of zeros; it is
 like another text without terms (1.0) and unlike any other (0.0). Equal texts have
-equal fingerprints. Null ids come last in the order. Rows that repeat an id are each
+equal fingerprints. Null ids come last in the order (the least 64-bit
+integer stands for them, so it is no id). Rows that repeat an id are each
 given a row, ordered by text. A single document is its own next document. An empty table
 gives no rows. Extra columns are not read.
 """
@@ -31,8 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from scriptorium.plans.workspace import Workspace
 
 SAMPLES = 32
-#: Rows in a range, about; ranges bounds on the driver at most.
-RANGE, BOUNDS = 1024, 512
+#: Rows in a range, about; bounds of ranges on the driver at most; partitions of the texts per configured shuffle partition.
+RANGE, BOUNDS, SPLIT = 256, 512, 4
 NULL_KEY = -(2**63)
 
 
@@ -44,7 +45,7 @@ def _gamma(h: Column, shift: int) -> Column:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_KEY))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), k.alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(k.alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def _bucket(k: Column, bounds: list[int], parts: int) -> Column:
@@ -57,23 +58,25 @@ def _bucket(k: Column, bounds: list[int], parts: int) -> Column:
 
 
 def with_next(ws: Workspace, docs: DataFrame, id_col: str, text_col: str, rows: int = RANGE) -> DataFrame:
-    """(bucket, rn, ghost, doc_id, text, next): ghosts are the copies at the ends of ranges, to be left out."""
+    """(bucket, rn, ghost, k, text, next): k is the id or NULL_KEY; ghosts are the copies at the ends of ranges, to be left out."""
     keyed = _keyed(docs, id_col, text_col)
     n = docs.count()
     bins = max(1, min(BOUNDS, math.ceil(n / rows)))
     quantiles = keyed.agg(F.percentile_approx("k", [i / bins for i in range(1, bins)] or [0.5], 10000)).first()[0] or [0]
     bounds = sorted(set(quantiles))
-    d = keyed.withColumn("bucket", _bucket(F.col("k"), bounds, max(1, math.ceil(n / rows / bins))))
+    # never null, so that a join adds no filter to one of the branches that share the shuffle
+    d = keyed.withColumn("bucket", F.coalesce(_bucket(F.col("k"), bounds, max(1, math.ceil(n / rows / bins))), F.lit(0)))
     # one row per range, ids only
     heads = d.groupBy("bucket").agg(F.max("k").alias("k"))
     order = Window.orderBy("bucket")
     top = Window.orderBy(F.desc("bucket"))
     heads = heads.select("bucket", F.lag("k").over(order).alias("below"), F.first("k").over(top).alias("first"))
     heads = ws.save(heads.select(F.col("bucket").alias("into"), F.coalesce("below", "first").alias("k")), "heads")
-    ghosts = d.join(heads, "k").select(F.col("into").alias("bucket"), F.lit(True).alias("ghost"), "doc_id", "k", "text")
-    x = d.select("bucket", F.lit(False).alias("ghost"), "doc_id", "k", "text").union(ghosts)
+    ghosts = d.join(heads, "k").select(F.coalesce("into", F.lit(0)).alias("bucket"), F.lit(True).alias("ghost"), "k", "text")
+    parts = SPLIT * int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    x = d.select("bucket", F.lit(False).alias("ghost"), "k", "text").union(ghosts).repartition(parts, "bucket")
     w = Window.partitionBy("bucket").orderBy("ghost", F.desc("k"), "text")
-    return x.select("bucket", "ghost", "doc_id", "text", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next"))
+    return x.select("bucket", "ghost", "k", "text", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next"))
 
 
 def _edited(text: Column, after: Column) -> Column:
@@ -123,9 +126,10 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     ws = Workspace(spark, "cws")
     rows = with_next(ws, docs, id_col, text_col)
     edited = _edited(F.col("text"), F.col("next"))
-    about = rows.select("bucket", "rn", "ghost", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
-
-    both = rows.select("bucket", "rn", "doc_id", "ghost", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), edited.alias("t")))).alias("x"))
+    # both branches read the same columns of the same shuffle, which so is written once
+    about = rows.select("bucket", "rn", "ghost", "k", F.length("text").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
+    changed = F.when(~F.col("ghost"), edited)
+    both = rows.select("bucket", "rn", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), changed.alias("t")))).alias("x"))
     words = both.select("bucket", "rn", F.col("x.v").alias("v"), F.explode(terms(F.col("x.t"))).alias("word"))
     words = words.where("word <> ''").select("bucket", "rn", "v", F.xxhash64("word").alias("term"))
     counted = words.groupBy("bucket", "rn", "term").agg(F.sum(F.when(F.col("v") == 0, 1).otherwise(0)).alias("own"), F.sum(F.when(F.col("v") == 1, 1).otherwise(0)).alias("changed"))
@@ -134,4 +138,4 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     x = about.join(sampled, ["bucket", "rn"], "left")
     x = x.withColumn("n", F.lead("a").over(Window.partitionBy("bucket").orderBy("rn")))
     x = x.where(~F.col("ghost"))
-    return x.select("doc_id", "n_chars", "edited_sha256", hexed(F.col("a"), k).alias("fingerprint"), hexed(F.col("e"), k).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e"), k).alias("near_edited"), likeness(F.col("a"), F.col("n"), k).alias("near_next"))
+    return x.select(F.when(F.col("k") != NULL_KEY, F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", hexed(F.col("a"), k).alias("fingerprint"), hexed(F.col("e"), k).alias("edited_fingerprint"), likeness(F.col("a"), F.col("e"), k).alias("near_edited"), likeness(F.col("a"), F.col("n"), k).alias("near_next"))
