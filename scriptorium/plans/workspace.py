@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _local_dir: str | None = None
 
 
@@ -47,11 +49,21 @@ class Workspace:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table."""
+    def save(self, df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+        """Write ``df`` and return the written table.
+
+        arrow_rows: rows that go to Python at a time while this is written, fewer where
+        a row holds long texts; the session's own setting comes back afterwards.
+        """
         self._names += 1
         path = f"{self.path}/{self._names:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(ARROW_ROWS)
+        try:
+            if arrow_rows:
+                self.spark.conf.set(ARROW_ROWS, arrow_rows)
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(ARROW_ROWS, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path  # for drop()
         return out
