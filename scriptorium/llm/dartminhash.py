@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scriptorium.llm.lean import lean
 from scriptorium.plans.components import connected_components
 from scriptorium.plans.workspace import Workspace
 
@@ -47,6 +48,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 7
 #: Characters that a worker shingles at a time.
 BATCH_CHARS = 250_000
+#: Texts, or pairs of bags, that go to Python at a time.
+TEXTS = 1000
 #: Largest bucket whose members of different classes are all compared.
 SMALL_BUCKET = 200
 #: Members that a round compares with the others of a larger bucket.
@@ -229,13 +232,13 @@ def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, digest of the words, band keys; null without words) of every whole text."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return ids.mapInArrow(_sketcher(bands, rows, size), "doc_id long, digest binary, bands array<long>")
+    return ids.mapInArrow(lean(_sketcher(bands, rows, size)), "doc_id long, digest binary, bands array<long>")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE_WORDS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """One row per document: doc_id, class_id (least id of its class), kept (doc_id = class_id)."""
     ws = Workspace(spark, "dartminhash")
-    sketch = ws.save(sketches(docs, id_col, text_col, bands, rows, size), "sketch")
+    sketch = ws.save(sketches(docs, id_col, text_col, bands, rows, size), "sketch", TEXTS)
     own = sketch.where("doc_id is not null")
     texts = ws.save(own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "texts")
 
@@ -250,12 +253,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         if not bags:
             needed = ws.save(members.select("rep").distinct(), "needed")
             found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed.withColumnRenamed("rep", "id"), "id", "left_semi")
-            bags.append(ws.save(found.mapInArrow(_bagger(size), "id long, bag binary").dropDuplicates(["id"]), "bags"))
+            bags.append(ws.save(found.mapInArrow(lean(_bagger(size)), "id long, bag binary").dropDuplicates(["id"]), "bags", TEXTS))
         one, two = (bags[0].select(F.col("id").alias(x), F.col("bag").alias(y)) for x, y in (("u", "one"), ("v", "two")))
-        return pairs.join(two, "v").join(one, "u").select("u", "v", "one", "two").mapInArrow(_likeness, "u long, v long, similarity double")
+        return pairs.join(two, "v").join(one, "u").select("u", "v", "one", "two").mapInArrow(lean(_likeness), "u long, v long, similarity double")
 
     pairs = members.where("rep <> center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct()
-    tried = ws.save(checked(pairs), "tried")
+    tried = ws.save(checked(pairs), "tried", TEXTS)
     links = tried.where(F.col("similarity") >= similarity).select("u", "v")
     classes = ws.save(connected_components(links, ws), "classes")
 
@@ -279,7 +282,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
                 break
             idle += 1
             continue
-        more = ws.save(checked(fresh), "more")
+        more = ws.save(checked(fresh), "more", TEXTS)
         tried = tried.union(more)
         found = more.where(F.col("similarity") >= similarity).select("u", "v")
         if found.isEmpty():

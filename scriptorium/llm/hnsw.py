@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scriptorium.llm.lean import lean
 from scriptorium.plans.components import connected_components
 from scriptorium.plans.workspace import Workspace
 
@@ -341,7 +342,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_
     """One row per vector: vec_id, n_links, component_id, kept."""
     ws = Workspace(spark, "hnsw")
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    keyed = ws.save(v.mapInArrow(_keys, "vec_id long, key binary, embedding array<double>"), "vectors")
+    keyed = ws.save(v.mapInArrow(lean(_keys), "vec_id long, key binary, embedding array<double>"), "vectors")
     usable = keyed.where("key is not null and vec_id is not null")
     distinct = ws.save(usable.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("mult"), F.first("embedding").alias("embedding")), "distinct")
     distinct_rows = distinct.count()
@@ -353,10 +354,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_
     names = graphs.select("shard", "d")
     # shards of one length, numbered pairs; a stated set of queries (blocks) against every shard
     pairs = names.groupBy("d").agg(F.array_sort(F.collect_list("shard")).alias("s")).select(F.posexplode("s").alias("i", "q_shard"), "s").select("q_shard", F.explode(F.slice("s", F.col("i") + 1, F.size("s"))).alias("shard"))
-    asked = graphs.select("shard", "d", "ids", "mult", "x").mapInArrow(_slices, "q_shard long, q_ids binary, q_mult binary, q_x binary")
+    asked = graphs.select("shard", "d", "ids", "mult", "x").mapInArrow(lean(_slices), "q_shard long, q_ids binary, q_mult binary, q_x binary")
     tasks = max(1, math.ceil(distinct_rows / SLICE) * shards)
     work = pairs.join(asked, "q_shard").join(graphs, "shard").repartition(tasks, "q_shard", "shard", F.xxhash64("q_ids"))
-    found = ws.save(work.mapInArrow(_linker(cosine), "u long, v long, n long"), "links")
+    found = ws.save(work.mapInArrow(lean(_linker(cosine)), "u long, v long, n long"), "links")
 
     counts = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("others"))
     parts = connected_components(found.where("v is not null"), ws)

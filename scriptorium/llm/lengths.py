@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from scriptorium.llm.lean import lean
 from scriptorium.llm.tokens import encoder
 from scriptorium.plans.workspace import Workspace
 
@@ -31,7 +32,7 @@ def token_lengths(docs: DataFrame, vocabulary: str, text_col: str = "text", end_
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 + end_tokens for x in each(t.as_py() for t in batch.column(0))], pa.int64())], ["n_tokens"])
 
-    return docs.select(text_col).mapInArrow(count, "n_tokens long")
+    return docs.select(text_col).mapInArrow(lean(count), "n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Chunks in a generation, the longest that is kept, in characters, and characters of texts that are worked on together.
-MEMORY, LONGEST, GROUP = 300_000, 48, 4_000
+MEMORY, LONGEST, GROUP = 120_000, 48, 4_000
 
 # kinds of Latin-1 characters: letters and numbers, signs but for the apostrophe, and the rest
 _KIND = np.zeros(256, np.uint8)

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import LongType
 
+from scriptorium.llm.lean import lean
 from scriptorium.llm.tokens import encoder
 from scriptorium.plans.workspace import Workspace
 
@@ -77,7 +78,7 @@ class Codec:
         import zstandard
 
         d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        self.pack = zstandard.ZstdCompressor(level=level, dict_data=d).compress
+        self.pack = zstandard.ZstdCompressor(level=level, dict_data=d, write_dict_id=False).compress  # the header names the dictionary
         self.unpack = zstandard.ZstdDecompressor(dict_data=d).decompress
 
 
@@ -148,7 +149,7 @@ def write(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([serialised((ids + end)[: 4 * SHARE], width) for ids in each(batch.column(1).to_pylist())], pa.binary())], ["doc_id", "data"])
 
-    picked = near.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample).mapInArrow(encoded, "doc_id long, data binary")
+    picked = near.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample).mapInArrow(lean(encoded), "doc_id long, data binary")
     dictionary = train([bytes(r["data"]) for r in picked.collect()], dictionary_size)
     files, path = store(f"{ws.path}/files")
     files.create_dir(path)
@@ -176,7 +177,7 @@ def write(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "
 
     parts = max(1, math.ceil(n / shard))
     ranged = d.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return ws.save(ranged.mapInArrow(write_part, "file string, part long, docs long, ids long, bytes long"), "manifest"), dictionary
+    return ws.save(ranged.mapInArrow(lean(write_part), "file string, part long, docs long, ids long, bytes long"), "manifest"), dictionary
 
 
 def read(spark: SparkSession, manifest: DataFrame, dictionary: bytes) -> DataFrame:
@@ -194,4 +195,4 @@ def read(spark: SparkSession, manifest: DataFrame, dictionary: bytes) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return starts.repartition(n, "file").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return starts.repartition(n, "file").mapInArrow(lean(rows), "doc_id long, start long, n_tokens long, ids_crc32 long")
