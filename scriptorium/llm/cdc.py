@@ -28,17 +28,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from scriptorium.llm.lean import lean
 from scriptorium.llm.dartminhash import mix
 from scriptorium.plans.workspace import Workspace
 
 WORDS = 50
 #: Bytes that the hash covers, of the smallest and largest chunk, and that the chunks of a pair of documents share at least.
 WINDOW, LEAST, MOST, SHARED = 16, 16, 256, 64
+#: Texts that go to Python at a time.
+TEXTS = 500
 
 _GEAR = mix(np.arange(1000, 1256, dtype=np.uint64)).astype(np.uint32)
 _SPACE = np.zeros(256, bool)
@@ -177,7 +178,7 @@ def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     """Rows (doc_id, first_doc_id, start, end, n_words): stretches of a document that the earlier one keeps."""
     ws = Workspace(spark, "cdc")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    cut = ws.save(d.mapInArrow(_chunker, "doc_id long, digest binary, size int"), "chunks")
+    cut = ws.save(d.mapInArrow(lean(_chunker), "doc_id long, digest binary, size int"), "chunks", TEXTS)
     kept = cut.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
     # the sides grow with the documents, so they are merged at any size
     later = cut.join(kept.hint("merge"), "digest").where("first < doc_id")
@@ -188,36 +189,32 @@ def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     texts = d.where("text is not null")
     keepers = texts.withColumnsRenamed({"doc_id": "first_doc_id", "text": "keeper"})
     both = pairs.hint("merge").join(texts, "doc_id").hint("merge").join(keepers, "first_doc_id").select("doc_id", "first_doc_id", "text", "keeper")
-    return both.mapInArrow(_spanner(words), SPANS)
+    return ws.save(both.mapInArrow(lean(_spanner(words)), SPANS), "spans", TEXTS)
 
 
-def _cut_out(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for text, own in zip(texts, spans):
-        if own is None or not len(own):
-            out.append(text)
-            continue
-        kept, at = [], 0
-        for span in sorted((s["start"], s["end"]) for s in own):
-            if span[1] > at:
-                kept.append(text[at : max(at, span[0])])
-                at = span[1]
-        out.append("".join([*kept, text[at:]]))
-    return pd.Series(out)
+def _cut_out(text: Column, spans: Column) -> Column:
+    """``text`` without the spans, which may overlap: a fold over them in order of their starts."""
+    part = lambda a, b: F.substring(text, a + F.lit(1), b - a)
+    start = F.struct(F.lit(0).cast("int").alias("at"), F.lit("").alias("kept"))
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"].cast("int"), acc["at"])
+        return F.struct(F.greatest(s["end"].cast("int"), acc["at"]).alias("at"), F.concat(acc["kept"], part(acc["at"], begin)).alias("kept"))
+
+    done = F.aggregate(F.array_sort(spans), start, step)
+    return F.get(F.transform(F.array(done), lambda d: F.concat(d["kept"], part(d["at"], F.length(text)))), F.lit(0))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` without the repeated stretches; documents that nothing is left of go. chars_col, where there is one, gets the new number of characters."""
-    ws = Workspace(spark, "cdc-cut")
-    spans = ws.save(repeats(spark, docs, id_col, text_col, words), "spans")
+    spans = repeats(spark, docs, id_col, text_col, words)
     name = "_spans"
     while name in docs.columns:
         name = f"_{name}"
     own = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias(name))
     own = own.select(F.col("doc_id").alias(f"{name}_id"), name)
     joined = docs.join(own, F.col(id_col).cast("long") == F.col(f"{name}_id"), "left")
-    cut = F.pandas_udf(_cut_out, StringType())
-    text = F.when(F.col(name).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(name)))
+    text = F.when(F.col(name).isNull(), F.col(text_col)).otherwise(_cut_out(F.col(text_col), F.col(name)))
     out = joined.withColumn(f"{name}_text", text)
     out = out.where(F.col(name).isNull() | F.col(f"{name}_text").rlike(r"\S"))
     new = {text_col: F.col(f"{name}_text")}

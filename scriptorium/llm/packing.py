@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scriptorium.llm.lean import lean
 from scriptorium.llm.tokens import encoder
 from scriptorium.plans.workspace import Workspace
 
@@ -53,7 +54,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], ["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(cut), PIECES)
 
 
 def best_two_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -141,7 +142,7 @@ PACKED = PIECES + ", shard long, sequence_id long, offset long"
 def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, shard: int = SHARD, tight: float = TIGHT) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     ws = Workspace(spark, "packing")
-    cut = ws.save(pieces(docs, vocabulary, id_col, text_col, length, end_id), "pieces")
+    cut = ws.save(pieces(docs, vocabulary, id_col, text_col, length, end_id), "pieces", 1000)
 
     def dealt(df: DataFrame, first: int) -> tuple[DataFrame, int]:
         n = max(1, math.ceil(df.count() / shard))

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from scriptorium.llm.lean import release
 from scriptorium.plans.workspace import Workspace
 
 #: Random features, ridge penalty, bins of the isotonic fit; one labelled row in CALIBRATE fits the curve.
@@ -75,7 +76,9 @@ def statistics(text: str | None) -> list[float]:
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def _statistics(texts: pd.Series) -> pd.Series:
-    return texts.map(statistics)
+    out = texts.map(statistics)
+    release()
+    return out
 
 
 @dataclass(frozen=True)
@@ -106,7 +109,9 @@ class Model:
 
         @F.pandas_udf("double")
         def score(texts: pd.Series) -> pd.Series:
-            return pd.Series(model.scores(np.array([statistics(t) for t in texts]).reshape(-1, N_STATS)))
+            out = pd.Series(model.scores(np.array([statistics(t) for t in texts]).reshape(-1, N_STATS)))
+            release()
+            return out
 
         return score(text)
 
@@ -148,7 +153,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     ws = Workspace(spark, "quality")
     y = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("y is not null and id is not null").where(~held_out(F.col("id")))
     x = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where(F.col("id").isNotNull() & ~held_out(F.col("id"))).select("id", _statistics("t").alias("x"))
-    rows = ws.save(x.join(y, "id").select("id", "x", "y", (F.pmod(F.xxhash64("id"), F.lit(CALIBRATE)) == 0).alias("curve")), "rows")
+    rows = ws.save(x.join(y, "id").select("id", "x", "y", (F.pmod(F.xxhash64("id"), F.lit(CALIBRATE)) == 0).alias("curve")), "rows", 1000)
 
     moments = [f(F.element_at("x", i + 1)) for i in range(N_STATS) for f in (F.avg, F.stddev_pop)]
     *m, n, share = rows.agg(*moments, F.count("*"), F.avg("y")).first()

@@ -147,6 +147,10 @@ def test_repeats_are_whole_shared_passages(spark):
     assert cdc.repeats(spark, docs.where("false")).count() == 0
 
 
+def test_overlapping_spans_are_cut_once(spark):
+    x = spark.createDataFrame([("0123456789", [(2, 5), (4, 7), (3, 4), (9, 10)]), ("ab", [(0, 2)])], "t string, s array<struct<start:long,end:long>>")
+    assert [r[0] for r in x.select(cdc._cut_out(x["t"], x["s"])).collect()] == ["0178", ""]
+
 def test_links_of_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 16))
