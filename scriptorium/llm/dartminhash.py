@@ -17,9 +17,12 @@ coordinate throws again with twice the rank.
 Links. Documents that agree in all rows of some band are candidates: each bucket first
 compares its members with its least member (a star), since most copies join a class
 this way without any pair between them. Where members of one bucket are still in
-different classes, small buckets compare all members of different classes, and larger
-ones go on with stars around ``HUBS`` other members at a time until two rounds change no
-class. Every candidate pair is checked against the exact similarity of the whole texts.
+different classes, small buckets compare all members of different classes. Larger ones
+that overlap form a group, and a group compares all its members of different classes
+too: members are dealt to blocks of at most about ``BLOCK`` texts or ``BLOCK_BYTES`` of bags,
+and a task gets two blocks, whose common shingles are counted by a matrix product. Two
+blocks of the group's commonest class have no pair to compare and do not meet. Every
+candidate pair is checked against the exact similarity of the whole texts.
 
 Defined results. A null text is an empty one. Texts with the same words are one text
 (without any word: the same text), hence in one class; an empty class of words links to
@@ -52,8 +55,8 @@ BATCH_CHARS = 250_000
 TEXTS = 1000
 #: Largest bucket whose members of different classes are all compared.
 SMALL_BUCKET = 200
-#: Members that a round compares with the others of a larger bucket.
-HUBS = 16
+#: Texts and bytes of bags in a block of a group, about; rows and columns that a matrix product takes at a time.
+BLOCK, BLOCK_BYTES, STRIP, COLUMNS = 1024, 2 << 20, 256, 2048
 
 _NOT_WORD = re.compile(r"[\W_]+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -229,13 +232,65 @@ def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["u", "v", "similarity"])
 
 
+def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """(len(one), len(two)): how many cells two bags have in common."""
+    cell = np.concatenate([*one, *two, np.empty(0, "<u8")])
+    bag = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in [*one, *two]])
+    _, column = np.unique(cell, return_inverse=True)
+    left = bag < len(one)
+    width = column.max(initial=-1) + 1
+    both = (np.bincount(column[left], minlength=width) > 0) & (np.bincount(column[~left], minlength=width) > 0)
+    place = np.cumsum(both) - 1
+    own = both[column]
+    column, bag, left = place[column[own]], bag[own], left[own]
+    order = np.argsort(column, kind="stable")
+    column, bag, left = column[order], bag[order], left[order]
+    out = np.zeros((len(one), len(two)), np.float32)  # whole numbers, exact below 2**24
+    for at in range(0, int(both.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, (at, at + COLUMNS)))
+        c, b, l = column[part] - at, bag[part], left[part]
+        x, y = np.zeros((len(one), c.max() + 1), np.float32), np.zeros((len(two), c.max() + 1), np.float32)
+        x[b[l], c[l]] = 1
+        y[b[~l] - len(one), c[~l]] = 1
+        for row in range(0, len(one), STRIP):
+            out[row : row + STRIP] += x[row : row + STRIP] @ y.T
+    return out
+
+
+def _crossed(similarity: float):
+    """For two blocks of a group, or one with itself: links that join all classes with a link between them."""
+
+    def links(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        block, rep = table["block"].to_numpy(), table["rep"].to_numpy()
+        bags = [np.frombuffer(x.as_py(), "<u8") for x in table["bag"]]
+        size = np.array([len(x) for x in bags])
+        _, label = np.unique(table["c"].to_numpy(), return_inverse=True)
+        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        u, v = [], []
+        if len(a) and len(b):
+            both = common_counts([bags[k] for k in a], [bags[k] for k in b])
+            for k, row in zip(a, both):
+                row = row.astype(np.float64)
+                near = b[row / np.maximum(1, size[k] + size[b] - row) >= similarity]
+                others, first = np.unique(label[near], return_index=True)
+                for other, at in zip(others, first):
+                    if other != label[k]:
+                        u.append(rep[k])
+                        v.append(rep[near[at]])
+                        label[label == other] = label[k]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return links
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, digest of the words, band keys; null without words) of every whole text."""
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return ids.mapInArrow(lean(_sketcher(bands, rows, size)), "doc_id long, digest binary, bands array<long>")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE_WORDS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE_WORDS, small_bucket: int = SMALL_BUCKET, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, class_id (least id of its class), kept (doc_id = class_id)."""
     ws = Workspace(spark, "dartminhash")
     sketch = ws.save(sketches(docs, id_col, text_col, bands, rows, size), "sketch", TEXTS)
@@ -249,12 +304,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     bags: list[DataFrame] = []
 
-    def checked(pairs: DataFrame) -> DataFrame:
+    def bagged() -> DataFrame:
         if not bags:
             needed = ws.save(members.select("rep").distinct(), "needed")
             found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed.withColumnRenamed("rep", "id"), "id", "left_semi")
             bags.append(ws.save(found.mapInArrow(lean(_bagger(size)), "id long, bag binary").dropDuplicates(["id"]), "bags", TEXTS))
-        one, two = (bags[0].select(F.col("id").alias(x), F.col("bag").alias(y)) for x, y in (("u", "one"), ("v", "two")))
+        return bags[0]
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        one, two = (bagged().select(F.col("id").alias(x), F.col("bag").alias(y)) for x, y in (("u", "one"), ("v", "two")))
         return pairs.join(two, "v").join(one, "u").select("u", "v", "one", "two").mapInArrow(lean(_likeness), "u long, v long, similarity double")
 
     pairs = members.where("rep <> center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct()
@@ -262,35 +320,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     links = tried.where(F.col("similarity") >= similarity).select("u", "v")
     classes = ws.save(connected_components(links, ws), "classes")
 
-    turn, idle = 0, 0
-    while idle < 2:
-        named = members.join(classes.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("c"))
-        hubs = F.array_distinct(F.array(*(F.min_by("rep", F.xxhash64("rep", F.lit(HUBS * turn + i))) for i in range(HUBS))))
-        mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), hubs.alias("hubs")).where("low < high")
-        open_ = ws.save(named.join(mixed.select("key", "hubs"), "key"), "open")
-        large = open_.where(F.col("n") > small_bucket)
-        hub = large.where(F.array_contains("hubs", F.col("rep"))).select("key", F.col("rep").alias("hub"), F.col("c").alias("of"))
-        fresh = large.join(hub, "key").where("c <> of").select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v"))
-        if not turn:
-            a, b = open_.where(F.col("n") <= small_bucket).alias("a"), open_.where(F.col("n") <= small_bucket).alias("b")
-            few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")))
-            fresh = fresh.union(few.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")))
-        fresh = ws.save(fresh.distinct().join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "fresh")
-        turn += 1
-        if fresh.isEmpty():
-            if large.isEmpty():
-                break
-            idle += 1
-            continue
-        more = ws.save(checked(fresh), "more", TEXTS)
-        tried = tried.union(more)
-        found = more.where(F.col("similarity") >= similarity).select("u", "v")
-        if found.isEmpty():
-            idle += 1
-            continue
-        idle = 0
-        joined = classes.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found)
-        classes = ws.save(connected_components(joined, ws), "classes")
+    named = members.join(classes.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "n", "center", "rep", F.coalesce("component", "rep").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    open_ = ws.save(named.join(mixed.select("key"), "key"), "open")
+    a, b = open_.where(F.col("n") <= small_bucket).alias("a"), open_.where(F.col("n") <= small_bucket).alias("b")
+    few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")))
+    fresh = few.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct()
+    fresh = ws.save(fresh.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "fresh")
+    found = []
+    if not fresh.isEmpty():
+        found.append(ws.save(checked(fresh), "more", TEXTS).where(F.col("similarity") >= similarity).select("u", "v"))
+    large = open_.where(F.col("n") > small_bucket)
+    if not large.isEmpty():
+        groups = connected_components(large.select(F.col("center").alias("u"), F.col("rep").alias("v")), ws)
+        whole = large.select("rep", "c").distinct().join(groups.withColumnsRenamed({"node": "rep", "component": "group"}), "rep")
+        whole = ws.save(whole.join(bagged().withColumnsRenamed({"id": "rep"}), "rep"), "groups")
+        by_class = whole.groupBy("group", "c").agg(F.count("*").alias("n"), F.sum(F.length("bag")).alias("bytes"))
+        total = by_class.groupBy("group").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "c", "bytes")).alias("top"))
+        blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("long")
+        plan = total.select("group", F.col("top.c").alias("main"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"), blocks(F.col("top.n"), F.col("top.bytes")).alias("mains"))
+        # blocks of other classes come first and meet all blocks; those of the commonest class meet these only
+        h, is_main = F.xxhash64("rep"), F.col("c") == F.col("main")
+        dealt = whole.join(plan, "group").withColumn("block", F.when(is_main, F.col("others") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("others"))))
+        met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(is_main, 0).otherwise(F.col("mains")) - 1)))
+        met = met.select("group", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "c", "bag")
+        found.append(ws.save(met.groupBy("group", "i", "j").applyInArrow(_crossed(similarity), "u long, v long"), "crossed"))
+    for more in found:
+        links = links.union(more)
+    if found:
+        classes = ws.save(connected_components(links, ws), "classes")
 
     by_digest = texts.select("digest", "rep").join(classes.withColumnsRenamed({"node": "rep"}), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     return own.select("doc_id", "digest").join(by_digest, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept")).union(sketch.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(True)))

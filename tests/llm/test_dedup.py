@@ -200,3 +200,25 @@ def test_small_graphs(n):
 def test_no_text_leaves_a_null_class(spark):
     x = dm.near_duplicates(spark, spark.createDataFrame([(None, "a")], "doc_id long, text string")).first()
     assert x["class_id"] is None and x["kept"]
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    bags = [np.unique(rng.integers(0, 9000, n).astype("<u8")) for n in (5000, 0, 700, 3000, 1)]
+    got = dm.common_counts(bags[:3], bags[1:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in bags[1:]] for a in bags[:3]]
+
+
+def test_links_of_large_mixed_buckets_equal_brute_force(spark):
+    # copies of one text with similarities around the threshold: many have a single link, to a copy with nearly the same edits
+    rnd = random.Random(11)
+    base, texts = prose(rnd, 150), []
+    for _ in range(250):
+        w = edited(rnd, base, rnd.choice((4, 5, 6)))
+        texts += [w, edited(rnd, w, 2)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert len(set(want.values())) > 100
+    for block in (dm.BLOCK, 60):
+        assert {r["doc_id"]: r["class_id"] for r in dm.near_duplicates(spark, docs, small_bucket=20, block=block).collect()} == want
