@@ -7,14 +7,17 @@ elsewhere between characters for one in 1024. A chunk has at least ``LEAST`` byt
 at most ``MOST``. An insertion moves the ends near it only, so a passage has the same
 chunks in all texts but for those at its edges.
 
-Chunks are deduplicated by digest: the document of least id keeps a chunk, later ones
-refer to it. Pairs (document, keeper) whose common chunks have ``SHARED`` bytes together
-are looked at in full: each common chunk grows to the longest equal stretch of both
-texts, which goes from the later document if it holds ``WORDS`` whole words. Every
-removed byte so has an equal earlier one, and a passage stays whole in one document.
+Chunks that two documents or more hold, by digest, mark where documents may share a
+passage. Two texts with the same ``WORDS`` words, from white space to white space, have
+the same chunks there from the first common end on, so of the stretches of ``WORDS``
+words only those whose last whole chunk is shared are looked at (at the end of a text,
+which cuts a chunk off, the one before counts too). The document of least id keeps such a
+stretch, not such a chunk, and later ones lose it: every removed byte so has an equal
+earlier one, whatever parts of a passage other documents hold. Stretches are told apart
+by 128 bits of hashes. A stretch without a whole common chunk is not found.
 Repeats within one document stay.
 
-Shuffles carry digests and ids; texts only of documents with such pairs.
+Shuffles carry digests, hashes and ids; texts only of documents with shared chunks.
 
 Defined results. A null or empty text has no chunks and no spans. Rows whose id is null
 are left alone, and rows of one id do not refer to each other. Spans are in code points.
@@ -29,19 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.llm.lean import lean
-from scriptorium.llm.dartminhash import mix
+from scriptorium.llm.dartminhash import _BYTE, _Powers, mix
 from scriptorium.plans.workspace import Workspace
 
 WORDS = 50
-#: Bytes that the hash covers, of the smallest and largest chunk, and that the chunks of a pair of documents share at least.
-WINDOW, LEAST, MOST, SHARED = 16, 16, 256, 64
+#: Bytes that the hash covers, and of the smallest and largest chunk.
+WINDOW, LEAST, MOST = 16, 16, 256
 #: Texts that go to Python at a time.
 TEXTS = 500
 
 _GEAR = mix(np.arange(1000, 1256, dtype=np.uint64)).astype(np.uint32)
+_OTHER = mix(np.arange(2000, 2256, dtype=np.uint64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[*b" \n\t\r"]] = True
 
@@ -113,65 +117,49 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common start."""
-    n, at, step = min(len(a), len(b)), 0, 64
-    while at < n:
-        m = min(step, n - at)
-        differ = a[at : at + m] != b[at : at + m]
-        if differ.any():
-            return at + int(differ.argmax())
-        at, step = at + m, 2 * step
-    return n
-
-
-def common_spans(text: bytes, keeper: bytes, words: int = WORDS) -> list[tuple[int, int, int]]:
-    """(start, end, words) in bytes of the stretches of ``text``, of that many whole words, that ``keeper`` has too."""
-    a, b = np.frombuffer(keeper, np.uint8), np.frombuffer(text, np.uint8)
-    at: dict[bytes, int] = {}
-    for digest, s, _ in chunks(keeper):
-        at.setdefault(digest, s)
-    out: list[tuple[int, int, int]] = []
-    covered = 0
-    for digest, s, e in chunks(text):
-        if digest not in at or e <= covered:
-            continue
-        k = at[digest]
-        right = s + _agree(b[s:], a[k:])
-        if right < e:  # equal digests of unequal chunks
-            continue
-        left = s - _agree(b[:s][::-1], a[:k][::-1])
-        covered = right
-        # whole words only, in both texts
-        if left and not (_SPACE[b[left - 1]] and (k - (s - left) == 0 or _SPACE[a[k - (s - left) - 1]])):
-            inner = np.flatnonzero(_SPACE[b[left:right]])
-            left = left + int(inner[0]) + 1 if len(inner) else right
-        stop = k + right - s
-        if right < len(b) and not (_SPACE[b[right]] and (stop == len(a) or _SPACE[a[min(stop, len(a) - 1)]])):
-            inner = np.flatnonzero(_SPACE[b[left:right]])
-            right = left + int(inner[-1]) if len(inner) else left
-        n = len(text[left:right].split())
-        if n >= words:
-            out.append((left, right, n))
-    return out
-
-
+def stretches(data: bytes, shared: set[bytes], words: int = WORDS) -> tuple[np.ndarray, ...]:
+    """(number of the first word, start, end, two hashes) of the stretches of so many words whose last whole chunk is shared."""
+    b = np.frombuffer(data, np.uint8)
+    gap = np.r_[True, _SPACE[b], True]
+    starts, stops = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    found = list(chunks(data))
+    if len(starts) < words or not found:
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    held = np.array([digest in shared for digest, _, _ in found])
+    begin, end = (np.array([x[k] for x in found]) for k in (1, 2))
+    s, e = starts[: len(starts) - words + 1], stops[words - 1 :]
+    last = np.searchsorted(end, e, "right") - 1
+    inside = lambda at: (at >= 0) & (begin[at] >= s) & held[at]
+    word = np.flatnonzero(inside(last) | (last == len(found) - 1) & inside(last - 1))
+    s, e = s[word], e[word]
+    up, down = _Powers.upto(len(b) + 1)
+    keys = []
+    for table in (_BYTE, _OTHER):
+        total = np.r_[np.uint64(0), np.cumsum(table[b] * up[: len(b)], dtype=np.uint64)]
+        keys.append(mix((total[e] - total[s]) * down[s]).view(np.int64))
+    return word, s, e, *keys
+
+
+STRETCHES = "doc_id long, version long, word long, start long, end long, one long, two long"
 SPANS = "doc_id long, first_doc_id long, start long, end long, n_words long"
 
 
-def _spanner(words: int):
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stretcher(words: int):
+    """Rows (doc_id, text, digests of shared chunks): stretches in code points; version tells texts of one id apart."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in STRETCHES.split(", ")]
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for doc, first, text, keeper in zip(*(batch.column(k) for k in range(4))):
+            for doc, text, own in zip(*(batch.column(k) for k in range(3))):
                 data = text.as_py().encode("utf-8", "replace")
-                for s, e, n in common_spans(data, keeper.as_py().encode("utf-8", "replace"), words):
-                    start = len(data[:s].decode())
-                    for column, x in zip(rows, (doc.as_py(), first.as_py(), start, start + len(data[s:e].decode()), n)):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "first_doc_id", "start", "end", "n_words"])
+                word, s, e, one, two = stretches(data, set(own.as_py()), words)
+                if len(word):
+                    at = np.r_[0, np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)]
+                    version = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+                    same = [np.full(len(word), x, np.int64) for x in (doc.as_py(), version)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*same, word, at[s], at[e], one, two)], names)
 
-    return spans
+    return find
 
 
 def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -179,17 +167,23 @@ def repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_c
     ws = Workspace(spark, "cdc")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     cut = ws.save(d.mapInArrow(lean(_chunker), "doc_id long, digest binary, size int"), "chunks", TEXTS)
-    kept = cut.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
+    kept = cut.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest")
     # the sides grow with the documents, so they are merged at any size
-    later = cut.join(kept.hint("merge"), "digest").where("first < doc_id")
-    pairs = later.groupBy("doc_id", "first").agg(F.sum("size").alias("shared")).where(F.col("shared") >= SHARED)
-    pairs = ws.save(pairs.select("doc_id", F.col("first").alias("first_doc_id")), "pairs")
+    own = cut.join(kept.hint("merge"), "digest").groupBy("doc_id").agg(F.collect_set("digest").alias("shared"))
+    own = ws.save(own, "shared")
     ws.drop(cut)
-    # both joins read the texts of one shuffle by id
-    texts = d.where("text is not null")
-    keepers = texts.withColumnsRenamed({"doc_id": "first_doc_id", "text": "keeper"})
-    both = pairs.hint("merge").join(texts, "doc_id").hint("merge").join(keepers, "first_doc_id").select("doc_id", "first_doc_id", "text", "keeper")
-    return ws.save(both.mapInArrow(lean(_spanner(words)), SPANS), "spans", TEXTS)
+    both = d.where("text is not null").hint("merge").join(own, "doc_id").select("doc_id", "text", "shared")
+    found = ws.save(both.mapInArrow(lean(_stretcher(words)), STRETCHES), "stretches", TEXTS)
+    ws.drop(own)
+    keeper = found.groupBy("one", "two").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").drop("last")
+    later = found.join(keeper.hint("merge"), ["one", "two"]).where("first_doc_id < doc_id").drop("one", "two")
+    # stretches from one word to the next are one span
+    text = ["doc_id", "version", "first_doc_id"]
+    runs = later.withColumn("run", F.col("word") - F.dense_rank().over(Window.partitionBy(*text).orderBy("word")))
+    spans = runs.groupBy(*text, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + words).alias("n_words"))
+    spans = ws.save(spans.select("doc_id", "first_doc_id", "start", "end", "n_words").distinct(), "spans")
+    ws.drop(found)
+    return spans
 
 
 def _cut_out(text: Column, spans: Column) -> Column:

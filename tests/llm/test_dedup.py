@@ -222,3 +222,17 @@ def test_links_of_large_mixed_buckets_equal_brute_force(spark):
     assert len(set(want.values())) > 100
     for block in (dm.BLOCK, 60):
         assert {r["doc_id"]: r["class_id"] for r in dm.near_duplicates(spark, docs, small_bucket=20, block=block).collect()} == want
+
+
+def test_earlier_documents_with_parts_of_a_passage(spark):
+    rnd = random.Random(12)
+    rows, want = [], {}
+    for k in range(12):
+        p, n = prose(rnd, 52).split(), 10 * k
+        parts = ([p[:45]], [p[:49], p[3:]], [p[:20], p[20:40], p[30:]])[k % 3]
+        rows += [(n + i, prose(rnd, 40) + " " + " ".join(x) + " " + prose(rnd, 40)) for i, x in enumerate(parts)]
+        rows += [(n + i, prose(rnd, 40) + " " + " ".join(p) + " " + prose(rnd, 40)) for i in (7, 8, 9)]
+        want |= {n + i: (n + 7, " ".join(p)) for i in (8, 9)}
+    text = dict(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["first_doc_id"], text[r["doc_id"]][r["start"] : r["end"]]) for r in cdc.repeats(spark, docs).collect()} == want
