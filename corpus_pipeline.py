@@ -6,7 +6,7 @@ stage's docs; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.llm import cdc, dartminhash, packing, pfair, quality
 from scriptorium.llm.tokens import default_vocabulary
@@ -33,9 +33,19 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pfair.mixed(spark, docs)
 
 
+def in_file_order(docs: DataFrame, name: str) -> DataFrame:
+    """doc_id, text and (``name``) the number of each row in the order in which the table's files hold them."""
+    rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # a row per file: the files of one written table
+    counts = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = Window.orderBy(F.element_at(F.split("_file", "/"), -1), "_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_file").select("doc_id", "text", (F.col("_start") + F.col("_row")).alias(name))
+
+
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
-    return packing.pack(spark, docs, default_vocabulary())
+    """Pieces of documents with their places in sequences, whose numbers follow the order of the written mix."""
+    return packing.pack(spark, in_file_order(docs, "mixed_at"), default_vocabulary(), order="mixed_at")
 
 
 STAGES = [

@@ -10,6 +10,10 @@ by length, kept as bits of an integer; a search is a few shifts, whatever the nu
 pieces. Bins of a shard that end less full than ``TIGHT`` are taken apart again, and
 their pieces are packed once more in shards of their own, a few thousand to one, so that shards cost few bins.
 
+With an order of the documents (``order``), shards are ranges of it instead: sequence
+ids rise from range to range, and loose bins are packed anew among neighbouring ranges
+and follow them, so any stretch of sequence ids holds documents of a stretch of the order.
+
 Defined results. A null or empty text is the end id alone. Rows that repeat an id are
 packed each for itself; where their texts differ, pieces of one doc_id and number occur
 more than once. A null id is kept. Other columns are not read. An empty table gives no rows.
@@ -38,8 +42,8 @@ TIGHT = 0.98
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Each document's pieces; copy tells rows that repeat an id apart within a batch."""
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, extra: str | None = None) -> DataFrame:
+    """Each document's pieces; copy tells rows that repeat an id apart within a batch. extra: a long column that comes along."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each, end, step = encoder(vocabulary).each, end_id.to_bytes(4, "little"), 4 * length
@@ -52,9 +56,13 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     for column, x in zip(rows, (doc, i, n, at // 4, len(part) // 4, zlib.crc32(part))):
                         column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], ["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
+            out, names = [pa.array(x, k) for x, k in zip(rows, kinds)], ["doc_id", "copy", "piece", "start", "length", "ids_crc32"]
+            if extra:
+                out, names = [*out, batch.column(2).take(out[1])], [*names, extra]
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(cut), PIECES)
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(extra).cast("long").alias(extra)] if extra else [])]
+    return docs.select(*columns).mapInArrow(lean(cut), PIECES + (f", {extra} long" if extra else ""))
 
 
 def best_two_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -139,9 +147,15 @@ def _packer(size: int, tight: float, shift: int):
 PACKED = PIECES + ", shard long, sequence_id long, offset long"
 
 
-def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, shard: int = SHARD, tight: float = TIGHT) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, shard: int = SHARD, tight: float = TIGHT, order: str | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    order: a column with the number of each document in an order, from 0 without large gaps.
+    """
     ws = Workspace(spark, "packing")
+    if order:
+        cut = ws.save(pieces(docs, vocabulary, id_col, text_col, length, end_id, order), "pieces", 1000)
+        return _in_order(ws, cut, order, length, shard, tight)
     cut = ws.save(pieces(docs, vocabulary, id_col, text_col, length, end_id), "pieces", 1000)
 
     def dealt(df: DataFrame, first: int) -> tuple[DataFrame, int]:
@@ -154,3 +168,19 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "d
     again = loose.groupBy("shard").applyInArrow(_packer(length, 0.0, 24), PACKED)
     out = once.where("sequence_id is not null").union(again)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def _in_order(ws: Workspace, cut: DataFrame, order: str, length: int, shard: int, tight: float) -> DataFrame:
+    """Shards are ranges of the order. A second round takes so many ranges together that their loose pieces make up a shard about."""
+    size = cut.agg(F.count("*").alias("n"), F.max(order).alias("last")).first()
+    step = max(1, math.ceil(((size["last"] or 0) + 1) * shard / max(1, size["n"])))
+    whole = cut.withColumn("shard", F.floor(F.col(order) / step)).drop(order)
+    once = ws.save(whole.groupBy("shard").applyInArrow(_packer(length, tight, 24), PACKED), "first")
+    loose = once.where("sequence_id is null").drop("sequence_id", "offset")
+    ranges = math.ceil(((size["last"] or 0) + 1) / step)
+    fan = max(1, ranges // max(1, math.ceil(loose.count() / shard)))
+    # numbers of the second round follow those of the last range that it takes
+    again = loose.withColumn("shard", F.floor(F.col("shard") / fan) * fan + (fan - 1)).groupBy("shard").applyInArrow(_packer(length, 0.0, 24), PACKED)
+    again = again.withColumn("sequence_id", F.col("sequence_id") + F.lit(1 << 23))
+    out = once.where("sequence_id is not null").union(again)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

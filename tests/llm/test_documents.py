@@ -8,7 +8,9 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from scriptorium.llm import chat, cws, dartminhash, oracle, pfair, quality, queries
+from pyspark.sql import functions as F
+
+from scriptorium.llm import chat, cws, dartminhash, oracle, packing, pfair, quality, queries
 
 
 def test_every_operator_has_a_query():
@@ -190,3 +192,24 @@ def test_pipeline_stages(spark, data):
     assert four.columns == columns and sorted(map(repr, four.collect())) == sorted(map(repr, rows))
     packed = corpus_pipeline.run(spark, data)
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in rows} and before
+
+
+def test_mix_reaches_the_sequences(spark, tmp_path, monkeypatch):
+    rnd = random.Random(13)
+    rows = [(i, " ".join(rnd.choices(("one", "two", "three", "four"), k=rnd.randrange(50, 400))), "hot" if i % 3 else f"s{i % 5}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {d: s for d, _, s in rows}
+    whole = packing.pack
+    monkeypatch.setattr(packing, "pack", lambda *a, **k: whole(*a, **k, shard=200))
+    hot = {}
+    for name, table in (("with", corpus_pipeline.mix_stage(spark, docs, "")), ("without", docs.orderBy(F.xxhash64("doc_id")))):
+        table.write.parquet(f"{tmp_path}/{name}")
+        got = corpus_pipeline.pack_stage(spark, spark.read.parquet(f"{tmp_path}/{name}"), "").orderBy("sequence_id", "offset").collect()
+        assert sorted(r["doc_id"] for r in got if r["piece"] == 0) == list(range(1500))
+        used = {}
+        for r in got:
+            assert r["offset"] == used.get(r["sequence_id"], 0)
+            used[r["sequence_id"]] = r["offset"] + r["length"]
+        assert max(used.values()) <= 2048
+        hot[name] = [np.mean([source[r["doc_id"]] == "hot" for r in part]) for part in (got[:400], got[-300:])]
+    assert hot["with"][0] < 0.5 and hot["with"][1] > 0.8 and all(0.55 < x < 0.78 for x in hot["without"])
