@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Shuffle files of a finished write go at once; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _local_dir: str | None = None
 
@@ -50,20 +52,22 @@ class Workspace:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def save(self, df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
-        """Write ``df`` and return the written table.
+        """Write ``df`` and return the written table; its shuffle files go when it is written.
 
         arrow_rows: rows that go to Python at a time while this is written, fewer where
-        a row holds long texts; the session's own setting comes back afterwards.
+        a row holds long texts. The session's own settings come back afterwards.
         """
         self._names += 1
         path = f"{self.path}/{self._names:03d}-{name}"
-        before = self.spark.conf.get(ARROW_ROWS)
+        ours = {CLEANUP: "true"} | ({ARROW_ROWS: str(arrow_rows)} if arrow_rows else {})
+        before = {key: self.spark.conf.get(key) for key in ours}
         try:
-            if arrow_rows:
-                self.spark.conf.set(ARROW_ROWS, arrow_rows)
+            for key, value in ours.items():
+                self.spark.conf.set(key, value)
             df.write.mode("overwrite").parquet(path)
         finally:
-            self.spark.conf.set(ARROW_ROWS, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path  # for drop()
         return out
