@@ -5,11 +5,14 @@ about ``SHARD_ROWS``; each shard gets its graph, built once and written. Then ea
 shard's vectors are queries against its own graph and those of the shards after it, so
 each pair of vectors meets once. A search holds a beam of candidates; while every member
 of a query's beam is a hit, the beam doubles, and beyond ``WIDEST`` the query scans the
-shard exactly. For each pair of shards an audit scans the shard for ``AUDIT`` queries;
-while the beam search finds less than ``RECALL`` of their hits, the beam of all queries
-doubles, at last to an exact scan. Hits are verified by cosine in double precision.
-Links are counted where they are found; of the pairs only a spanning forest per pair of
-shards leaves a task, and connected components unite the forests.
+shard exactly. For each slice of queries and shard an audit scans the shard for ``AUDIT``
+of the queries and for ``PROBES`` made up ones, stored vectors turned by nearly the
+largest angle that is still a hit, so that there are hits to miss even where the queries
+have none; a vector's hit on itself does not count. While the beam search finds less
+than ``RECALL`` of the hits of either kind, the beam of all queries doubles, at last to
+an exact scan. Hits are verified by cosine in double precision. Links are counted where
+they are found, a few queries at a time; of the pairs only a spanning forest per slice and
+shard leaves a task, and connected components unite the forests.
 
 The work grows with the number of shards times the number of vectors, as every shard is
 asked; a larger shard costs memory (about 1 kB a vector) and saves work.
@@ -40,9 +43,9 @@ SHARD_ROWS = 32768
 SLICE = 8192
 #: Links of a node above the lowest level (twice as many there), beam while building, first beam and widest beam of searches.
 LINKS, BUILD_BEAM, BEAM, WIDEST = 16, 48, 24, 768
-AUDIT, RECALL = 32, 0.995
-#: Nodes expanded at a time, queries searched at a time.
-EXPAND, QUERIES = 4, 256
+AUDIT, PROBES, RECALL = 64, 128, 0.995
+#: Nodes expanded at a time, queries searched at a time, queries whose hits are held at a time.
+EXPAND, QUERIES, PART = 4, 256, 1024
 
 
 def _diverse(sims: np.ndarray, ids: np.ndarray, x: np.ndarray, keep: int) -> np.ndarray:
@@ -219,17 +222,31 @@ def scan(x: np.ndarray, queries: np.ndarray, cosine: float, names: np.ndarray) -
     return names[r], c
 
 
-def audited(graph: Graph, queries: np.ndarray, cosine: float, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, int]:
-    """hits() with a beam that passes the audit, and that beam. Evenly spaced queries are audited."""
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))
-    truth = {*zip(*(a.tolist() for a in scan(graph.x, queries[sample], cosine, sample)))}
-    while True:
-        r, c = graph.hits(queries, cosine, beam)
-        of_sample = np.isin(r, sample)
-        found = len(truth & {*zip(r[of_sample].tolist(), c[of_sample].tolist())})
-        if found >= recall * len(truth) or beam > WIDEST:
-            return r, c, beam
+def probes(x: np.ndarray, cosine: float, n: int) -> np.ndarray:
+    """Unit vectors, each nearly as far from a stored one as a hit can be: a third of the way from the threshold to 1."""
+    at = np.unique(np.linspace(0, len(x) - 1, min(n, len(x))).astype(int))
+    away = np.random.default_rng(len(x)).normal(size=(len(at), x.shape[1]))
+    away -= np.einsum("nd,nd->n", away, x[at])[:, None] * x[at]
+    norm = np.sqrt(np.einsum("nd,nd->n", away, away))[:, None]
+    near = min(1.0, cosine + (1 - cosine) / 3)
+    out = near * x[at] + math.sqrt(1 - near * near) * away / np.maximum(norm, 1e-12)
+    return (out / np.sqrt(np.einsum("nd,nd->n", out, out))[:, None]).astype(np.float32)
+
+
+def _recall(graph: Graph, queries: np.ndarray, cosine: float, found: tuple[np.ndarray, np.ndarray], sample: np.ndarray) -> float:
+    """Share of the hits of the sampled queries that were found, without those of a vector on itself; 1 if there are none."""
+    r, c = scan(graph.x, queries[sample], cosine, sample)
+    other = np.einsum("nd,nd->n", queries[r], graph.x[c]) < 1 - 1e-6
+    truth = r[other] * len(graph.x) + c[other]
+    return np.isin(truth, found[0] * len(graph.x) + found[1]).mean() if len(truth) else 1.0
+
+
+def audited(graph: Graph, queries: np.ndarray, cosine: float, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL, planted: int = PROBES) -> int:
+    """The beam with which searches pass the audit, beyond ``WIDEST`` for an exact scan. Evenly spaced queries and probes are audited."""
+    both = [queries[np.unique(np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int))], probes(graph.x, cosine, planted)]
+    while beam <= WIDEST and any(_recall(graph, q, cosine, graph.hits(q, cosine, beam), np.arange(len(q))) < recall for q in both if len(q)):
         beam *= 2
+    return beam
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +280,7 @@ def _builder(table: pa.Table) -> pa.Table:
     blob = lambda a: pa.array([a.tobytes()], pa.binary())
     return pa.table({
         "shard": table["shard"][:1].cast(pa.int64()), "d": pa.array([x.shape[1]], pa.int32()), "ids": blob(ids.astype("<i8")), "mult": blob(mult.astype("<i8")),
-        "x": blob(x), "links": pa.array([[t.tobytes() for t in packed]], pa.list_(pa.binary())), "widths": pa.array([[t.shape[1] for t in packed]], pa.list_(pa.int32())),
+        "x": pa.array([_packed(x)], pa.binary()), "links": pa.array([[t.tobytes() for t in packed]], pa.list_(pa.binary())), "widths": pa.array([[t.shape[1] for t in packed]], pa.list_(pa.int32())),
     })
 
 
@@ -275,9 +292,10 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for n in range(batch.num_rows):
             shard, d, ids, mult, x = (batch.column(k)[n].as_py() for k in range(5))
+            width = d * int(x[:1])  # the first byte says how wide a component is
             for at in range(0, len(ids) // 8, SLICE):
                 own = slice(8 * at, 8 * (at + SLICE))
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([ids[own]], pa.binary()), pa.array([mult[own]], pa.binary()), pa.array([x[8 * d * at : 8 * d * (at + SLICE)]], pa.binary())], ["q_shard", "q_ids", "q_mult", "q_x"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([ids[own]], pa.binary()), pa.array([mult[own]], pa.binary()), pa.array([x[:1] + x[1 + width * at : 1 + width * (at + SLICE)]], pa.binary())], ["q_shard", "q_ids", "q_mult", "q_x"])
 
 
 def _graph(x: np.ndarray, links: list[bytes], widths: list[int]) -> Graph:
@@ -290,22 +308,37 @@ def _graph(x: np.ndarray, links: list[bytes], widths: list[int]) -> Graph:
     return Graph(x, tables)
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
-    root: dict[int, int] = {}
+class _Forest:
+    """Edges that join what no edge before has joined."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
 
-    def find(a: int) -> int:
+    def find(self, a: int) -> int:
+        root = self.root
         while root.setdefault(a, a) != a:
             root[a] = root[root[a]]
             a = root[a]
         return a
 
-    out = []
-    for a, b in zip(u.tolist(), v.tolist()):
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
+    def add(self, u: np.ndarray, v: np.ndarray) -> None:
+        for a, b in zip(u.tolist(), v.tolist()):
+            x, y = self.find(a), self.find(b)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                self.edges.append((a, b))
+
+
+def _floats(blob: bytes, d: int) -> np.ndarray:
+    """Vectors from their bytes: in single precision where that loses nothing, as the first byte says."""
+    return np.frombuffer(blob, "<f4" if blob[:1] == b"4" else "<f8", offset=1).reshape(-1, d).astype(np.float64)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    with np.errstate(over="ignore"):
+        small = x.astype("<f4")
+    return b"4" + small.tobytes() if np.array_equal(small.astype(np.float64), x) else b"8" + x.astype("<f8").tobytes()
 
 
 def _linker(cosine: float):
@@ -315,24 +348,29 @@ def _linker(cosine: float):
                 row = {name: batch.column(k)[n].as_py() for k, name in enumerate(batch.schema.names)}
                 ids_q, ids_x = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
                 mult_q, mult_x = np.frombuffer(row["q_mult"], "<i8"), np.frombuffer(row["mult"], "<i8")
-                q, x = (_unit(np.frombuffer(row[k]).reshape(-1, row["d"])) for k in ("q_x", "x"))
+                q, x = (_unit(_floats(row[k], row["d"])) for k in ("q_x", "x"))
                 graph = _graph(x.astype(np.float32), row["links"], row["widths"])
-                a, b, _ = audited(graph, q.astype(np.float32), cosine - 1e-5)
-                own = row["shard"] == row["q_shard"]
-                if own:  # the other direction is found by the other vector's search
-                    apart = ids_q[a] != ids_x[b]
-                    a, b = a[apart], b[apart]
-                exact = np.zeros(len(a))
-                for s in range(0, len(a), 65536):
-                    exact[s : s + 65536] = np.einsum("nd,nd->n", q[a[s : s + 65536]], x[b[s : s + 65536]])
-                a, b = a[exact >= cosine], b[exact >= cosine]
-                counts = [(ids_q, np.bincount(a, weights=mult_x[b], minlength=len(q)))]
-                if not own:
-                    counts.append((ids_x, np.bincount(b, weights=mult_q[a], minlength=len(x))))
-                forest = _forest(ids_q[a], ids_x[b])
-                u = np.concatenate([i[c > 0] for i, c in counts] + [np.array([f[0] for f in forest], np.int64)])
-                v = [None] * (len(u) - len(forest)) + [f[1] for f in forest]
-                count = np.concatenate([c[c > 0] for _, c in counts] + [np.zeros(len(forest))]).astype(np.int64)
+                least, own = cosine - 1e-5, row["shard"] == row["q_shard"]
+                single = q.astype(np.float32)
+                beam = audited(graph, single, least)
+                of_q, of_x, forest = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64), _Forest()
+                for at in range(0, len(q), PART):
+                    a, b = graph.hits(single[at : at + PART], least, beam)
+                    a = a + at
+                    if own:  # the other direction is found by the other vector's search
+                        apart = ids_q[a] != ids_x[b]
+                        a, b = a[apart], b[apart]
+                    exact = np.zeros(len(a))
+                    for k in range(0, len(a), 65536):
+                        exact[k : k + 65536] = np.einsum("nd,nd->n", q[a[k : k + 65536]], x[b[k : k + 65536]])
+                    a, b = a[exact >= cosine], b[exact >= cosine]
+                    np.add.at(of_q, a, mult_x[b])
+                    if not own:
+                        np.add.at(of_x, b, mult_q[a])
+                    forest.add(ids_q[a], ids_x[b])
+                u = np.concatenate([ids_q[of_q > 0], ids_x[of_x > 0], np.array([f[0] for f in forest.edges], np.int64)])
+                v = [None] * (len(u) - len(forest.edges)) + [f[1] for f in forest.edges]
+                count = np.concatenate([of_q[of_q > 0], of_x[of_x > 0], np.zeros(len(forest.edges), np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, pa.int64()), pa.array(count)], ["u", "v", "n"])
 
     return link
