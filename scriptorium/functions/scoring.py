@@ -19,19 +19,26 @@ def score2(query: str, text: Column, spark_terms: list[str]) -> Column:
     """Twice the lexical score of a text for a query at weight 1, a whole number.
 
     Each term (repeats too) that occurs gives 2 and 1 for each further occurrence, up to
-    four; the query as a phrase gives 6. spark_terms: the query's terms.
+    four; the query as a phrase gives 6. spark_terms: the query's terms. Only texts that
+    hold a term as they stand are cut into tokens, where all terms are such that no other text can score.
     """
     if not spark_terms:
         return F.lit(0)
     phrase = " ".join(query.lower().split())
 
-    def of(found: Column) -> Column:
-        score = F.when(F.lower(text).contains(phrase), 6).otherwise(0)
+    def of(found: Column, low: Column) -> Column:
+        score = F.when(low.contains(phrase), 6).otherwise(0)
         for term in spark_terms:
             score = score + _occurrences(F.size(F.filter(found, _equals(term))))
         return F.when(F.size(found) > 0, score).otherwise(0)
 
-    return tx.let(tx.tokens(text), of)
+    def maybe(low: Column) -> Column:
+        whole = tx.let(tx.tokens(low), lambda found: of(found, low))
+        if any(not t.isascii() or not t.isalnum() or "cpp" in t for t in spark_terms):  # tokens that are spelled otherwise in the text
+            return whole
+        return F.when(low.isNull() | tx.has_any(low, spark_terms), whole).otherwise(0)
+
+    return tx.let(F.lower(text), maybe)
 
 
 def _occurrences(n: Column) -> Column:
@@ -54,16 +61,18 @@ def terms_of(spark, query: str) -> list[str]:
     return spark.range(1).select(tx.query_terms(F.lit(query)).alias("t")).first()["t"]
 
 
-def preview_is_noisy(preview: Column) -> Column:
-    p = F.lower(tx.compact(preview))
+def _noisy(p: Column) -> Column:
+    """p: a preview, compacted and in lower case."""
     return p.isin(*lx.NOISY_PREVIEWS) | tx.is_digits(p) | p.rlike(tx.ROMAN) | p.startswith("contents") | p.startswith("table of contents")
 
 
-def signal_penalty2(preview: Column) -> Column:
-    """Twice the penalty of a page whose preview says little."""
-    p = tx.compact(preview)
+def preview_is_noisy(preview: Column) -> Column:
+    return tx.let(F.lower(tx.compact(preview)), _noisy)
+
+
+def _signal2(p: Column, low: Column) -> Column:
     parts = (
-        F.when(F.lower(p).isin(*lx.FRONT_MATTER), 10).otherwise(0)
+        F.when(low.isin(*lx.FRONT_MATTER), 10).otherwise(0)
         + F.when(tx.is_digits(p) | p.rlike(tx.ROMAN), 8).otherwise(0)
         + F.when(F.length(p) <= 4, 4).otherwise(0)
         + F.when(tx.is_upper(p) & (F.length(p) <= 16), 3).otherwise(0)
@@ -71,23 +80,28 @@ def signal_penalty2(preview: Column) -> Column:
     return F.when(F.coalesce(p, F.lit("")) == "", 8).otherwise(parts)
 
 
+def signal_penalty2(preview: Column) -> Column:
+    """Twice the penalty of a page whose preview says little."""
+    return tx.lowered(preview, _signal2)
+
+
 def noise_penalty2(preview: Column, text: Column, page_no: Column, book: Column) -> Column:
     """Twice the penalty of a page that is front matter or boilerplate."""
-    t = tx.compact(F.coalesce(text, F.lit("")))
-    low = F.lower(t)
     own = signal_penalty2(preview)
-    more = (
-        own
-        + F.when(preview_is_noisy(F.coalesce(preview, F.lit(""))), 16).otherwise(0)
-        + 8 * tx.count_of(low, lx.BOILERPLATE)
-        + F.when(low.startswith("contents ") | low.startswith("table of contents"), 16).otherwise(0)
-        + F.when(low.contains("series editors"), 16).otherwise(0)
-        + F.when(low.contains("library of congress"), 12).otherwise(0)
-        + F.when(low.contains("all rights reserved"), 16).otherwise(0)
-        + F.when(low.contains("printed and bound"), 10).otherwise(0)
-        + F.when(book & (page_no <= 6), 4).otherwise(0)
-    )
-    return F.when(t == "", own + 20).otherwise(more)
+    noisy = F.when(preview_is_noisy(F.coalesce(preview, F.lit(""))), 16).otherwise(0)
+
+    def of(t: Column, low: Column) -> Column:
+        more = (
+            8 * tx.count_of(low, lx.BOILERPLATE)
+            + F.when(low.startswith("contents ") | low.startswith("table of contents"), 16).otherwise(0)
+            + F.when(low.contains("series editors"), 16).otherwise(0)
+            + F.when(low.contains("library of congress"), 12).otherwise(0)
+            + F.when(low.contains("all rights reserved"), 16).otherwise(0)
+            + F.when(low.contains("printed and bound"), 10).otherwise(0)
+        )
+        return F.when(t == "", 20).otherwise(more + noisy + F.when(book & (page_no <= 6), 4).otherwise(0))
+
+    return own + tx.lowered(F.coalesce(text, F.lit("")), of)
 
 
 def _known(terms: Column, profile: Column, most: int) -> Column:
@@ -101,25 +115,31 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def page_score20(preview: Column, text: Column, page_no: Column, title_terms: Column, profile: Column, book: bool = False) -> Column:
     """Twenty times the score of a page as a source for a summary."""
-    t = tx.compact(F.coalesce(text, F.lit("")))
-    low, p = F.lower(t), F.lower(tx.compact(preview))
-    terms = F.array_distinct(tx.informative_tokens(F.substring(t, 1, 2000)))
-    topical = tx.let(terms, lambda x: 60 * _overlap(title_terms, x) + 7 * _known(x, profile, 5))
-    score = -10 * noise_penalty2(preview, text, page_no, F.lit(book)) + topical
-    if book:
-        score = (
-            score
-            + F.when(low.startswith("preface ") | F.substring(low, 1, 200).contains("preface introduction"), 240).otherwise(0)
-            + F.when(low.startswith("introduction "), 200).otherwise(0)
-            + F.when((p == "preface") | p.startswith("1. introduction"), 200).otherwise(0)
-            + F.when(p.startswith("chapter 1"), 100).otherwise(0)
-            + F.when(p.contains("introduction"), 80).otherwise(0)
-            + F.when(page_no.between(7, 40), 80).when(page_no.between(20, 80), 40).when(page_no.between(7, 120), 20).otherwise(0)
-            - F.when(page_no <= 6, 200).otherwise(0)
-        )
-    else:
-        score = score + F.when(page_no <= 3, 100).when(page_no <= 8, 40).otherwise(0)
-    return F.when(F.length(t) < 140, F.lit(-20000)).otherwise(score)
+    noise = noise_penalty2(preview, text, page_no, F.lit(book))
+
+    def of(t: Column, low: Column) -> Column:
+        terms = F.array_distinct(tx.informative_tokens(F.substring(t, 1, 2000)))
+        topical = tx.let(terms, lambda x: 60 * _overlap(title_terms, x) + 7 * _known(x, profile, 5))
+        score = -10 * noise + topical
+        if book:
+            cues = lambda p: (
+                F.when((p == "preface") | p.startswith("1. introduction"), 200).otherwise(0)
+                + F.when(p.startswith("chapter 1"), 100).otherwise(0)
+                + F.when(p.contains("introduction"), 80).otherwise(0)
+            )
+            score = (
+                score
+                + F.when(low.startswith("preface ") | F.substring(low, 1, 200).contains("preface introduction"), 240).otherwise(0)
+                + F.when(low.startswith("introduction "), 200).otherwise(0)
+                + tx.let(F.lower(tx.compact(preview)), cues)
+                + F.when(page_no.between(7, 40), 80).when(page_no.between(20, 80), 40).when(page_no.between(7, 120), 20).otherwise(0)
+                - F.when(page_no <= 6, 200).otherwise(0)
+            )
+        else:
+            score = score + F.when(page_no <= 3, 100).when(page_no <= 8, 40).otherwise(0)
+        return F.when(F.length(t) < 140, F.lit(-20000)).otherwise(score)
+
+    return tx.lowered(F.coalesce(text, F.lit("")), of)
 
 
 def sentence_score20(sentence: Column, title_terms: Column, profile: Column, book: bool = False) -> Column:
@@ -128,7 +148,11 @@ def sentence_score20(sentence: Column, title_terms: Column, profile: Column, boo
 
 
 def _sentence20(sentence: Column, terms: Column, title_terms: Column, profile: Column, book: bool) -> Column:
-    low, n = F.lower(sentence), F.size(terms)
+    return tx.let(F.lower(sentence), lambda low: _scored20(sentence, low, terms, title_terms, profile, book))
+
+
+def _scored20(sentence: Column, low: Column, terms: Column, title_terms: Column, profile: Column, book: bool) -> Column:
+    n = F.size(terms)
     score = 80 * _overlap(title_terms, terms) + 9 * _known(terms, profile, 6) + 3 * F.least(n, F.lit(14)) + 60 * tx.count_of(low, lx.SUMMARY_CUES)
     if book:
         score = (
@@ -152,11 +176,8 @@ def _sentence20(sentence: Column, terms: Column, title_terms: Column, profile: C
 
 
 def structural_noise(sentence: Column) -> Column:
-    low = F.lower(sentence)
-    return (
-        sentence.rlike(tx.SECTION_NUMBER) | tx.has_any(low, lx.BOILERPLATE) | tx.has_any(low, lx.STRUCTURAL_NOISE) | tx.has_any(low, lx.STRUCTURE_WORDS)
-        | (tx.char_count(sentence, ":") >= 3) | (tx.char_count(sentence, "0-9") >= 8)
-    )
+    cues = (*lx.BOILERPLATE, *lx.STRUCTURAL_NOISE, *lx.STRUCTURE_WORDS)
+    return sentence.rlike(tx.SECTION_NUMBER) | tx.let(F.lower(sentence), lambda low: tx.has_any(low, cues)) | (tx.char_count(sentence, ":") >= 3) | (tx.char_count(sentence, "0-9") >= 8)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -24,15 +24,6 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def words(values: Sequence[str]) -> Column:
-    """A literal array."""
-    return F.array(*(F.lit(v) for v in values))
-
-
-def is_in(x: Column, values: Sequence[str]) -> Column:
-    return x.isin(*values)
-
-
 def has_any(text: Column, fragments: Sequence[str]) -> Column:
     """Whether the text holds one of the fragments."""
     out = F.lit(False)
@@ -68,6 +59,11 @@ def compact(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" "))
 
 
+def lowered(text: Column, body) -> Column:
+    """body(t, low) with the compacted text and its lower case, each computed once for each row."""
+    return let(compact(text), lambda t: let(F.lower(t), lambda low: body(t, low)))
+
+
 def normal_token(token: Column) -> Column:
     """Lower case, with c++, c# and & spelled out and no punctuation at the ends."""
     t = F.lower(token)
@@ -83,7 +79,8 @@ def slug(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Tokens in order, repeats included; an empty array for a text without any."""
     found = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), 1)
-    return F.filter(F.transform(found, slug), lambda t: t != "")
+    # most tokens are letters and digits alone and stay as they are
+    return F.filter(F.transform(found, lambda t: F.when(F.translate(t, "+#./-", "") == t, t).otherwise(slug(t))), lambda t: t != "")
 
 
 def _kept(text: Column, least: int, *banned: Sequence[str], digits: bool = False) -> Column:
@@ -205,8 +202,7 @@ def titled(phrase: Column) -> Column:
 
 def has_concept_noise(text: Column) -> Column:
     """Blank, or with a fragment that titles of no use have."""
-    t = F.lower(compact(text))
-    return F.coalesce((t == "") | has_any(t, lx.CONCEPT_NOISE), F.lit(True))
+    return F.coalesce(let(F.lower(compact(text)), lambda t: (t == "") | has_any(t, lx.CONCEPT_NOISE)), F.lit(True))
 
 
 def ngrams(parts: Column, n: int) -> Column:

@@ -90,8 +90,8 @@ def resolution(catalog: DataFrame, pairs: DataFrame, ws: Workspace) -> DataFrame
     member = member.join(best, "component").select("doc_id", "near")
     both = pairs.select("a", "b", "inter", "total", "reason").union(pairs.select("b", "a", "inter", "total", "reason")).toDF("doc_id", "other", "inter", "total", "reason")
     own = both.join(member, "doc_id").where("doc_id <> near")
-    key = F.struct((F.col("other") == F.col("near")).alias("direct"), (F.col("inter") / F.col("total")).alias("s"), (-F.col("other")).alias("o"))
-    detail = own.groupBy("doc_id", "near").agg(F.max_by(F.struct("inter", "total", "reason"), key).alias("d"))
+    key = F.struct((F.col("other") != F.col("near")).alias("indirect"), (-F.col("inter") / F.col("total")).alias("s"), F.col("other").alias("o"))
+    detail = own.groupBy("doc_id", "near").agg(F.min_by(F.struct("inter", "total", "reason"), key).alias("d"))
     detail = detail.select(F.col("doc_id").alias("id"), "near", F.col("d.inter").alias("i"), F.col("d.total").alias("t"), F.col("d.reason").alias("reason"))
     x = catalog.select("doc_id", "canonical_doc_id", "relationship").join(detail, F.col("doc_id") == F.col("id"), "left")
     exact = F.coalesce(F.col("relationship.kind"), F.lit("")) == "exact_duplicate_of"
@@ -100,11 +100,14 @@ def resolution(catalog: DataFrame, pairs: DataFrame, ws: Workspace) -> DataFrame
 
 
 def overlay(catalog: DataFrame, resolved: DataFrame) -> DataFrame:
-    """``catalog`` with the resolution's canonical id, and similarity, dedupe_kind and is_redundant."""
-    r = resolved.select(F.col("doc_id").alias("_id"), F.col("canonical_doc_id").alias("_canonical"), "status", "similarity_1e4")
-    x = catalog.join(r, F.col("doc_id") == F.col("_id"), "left")
-    kind = F.when(F.col("status") == "near_duplicate", "near_duplicate_of").otherwise(F.col("relationship.kind"))
+    """``catalog`` with the resolution's canonical id, and similarity, dedupe_kind and is_redundant.
+
+    Columns of the catalog that have the name of one of the resolution's, as a status, stay as they are.
+    """
+    r = resolved.select(F.col("doc_id").alias("_id"), F.col("canonical_doc_id").alias("_canonical"), F.col("status").alias("_status"), F.col("similarity_1e4").alias("_similarity"))
+    x = catalog.drop("similarity_1e4").join(r, F.col("doc_id") == F.col("_id"), "left").withColumnRenamed("_similarity", "similarity_1e4")
+    kind = F.when(F.col("_status") == "near_duplicate", "near_duplicate_of").otherwise(F.col("relationship.kind"))
     canonical = F.coalesce("_canonical", "canonical_doc_id")
     x = x.withColumns({"canonical_doc_id": canonical, "dedupe_kind": kind})
     redundant = F.coalesce(F.col("dedupe_kind").isin("exact_duplicate_of", "near_duplicate_of"), F.lit(False)) & (F.col("canonical_doc_id") != F.col("doc_id"))
-    return x.withColumn("is_redundant", redundant).drop("_id", "_canonical", "status")
+    return x.withColumn("is_redundant", redundant).drop("_id", "_canonical", "_status")
