@@ -116,7 +116,29 @@ def orphans(artifacts: DataFrame, catalog: DataFrame, id_col: str = "doc_id") ->
 
 
 def rename(df: DataFrame, old: object, new: object, id_col: str = "doc_id") -> DataFrame:
-    return df.withColumn(id_col, F.when(F.col(id_col) == old, F.lit(new)).otherwise(F.col(id_col)))
+    """``df`` with the new id wherever it refers to a document: the id itself, the canonical one, a relationship's target, lists of supporting documents."""
+    named = lambda c: F.when(c == old, F.lit(new)).otherwise(c)
+    changed = {c: named(F.col(c)) for c in (id_col, "canonical_doc_id") if c in df.columns}
+    if "relationship" in df.columns:
+        changed["relationship"] = F.col("relationship").withField("target_doc_id", named(F.col("relationship.target_doc_id")))
+    if "supporting_doc_ids" in df.columns:
+        changed["supporting_doc_ids"] = F.transform("supporting_doc_ids", named)
+    if "entry" in df.columns:  # the key of a BibTeX entry
+        changed["entry"] = F.replace("entry", F.lit(f"{{{old},"), F.lit(f"{{{new},"))
+    return df.withColumns(changed)
+
+
+def relinked(df: DataFrame, old: str, new: str, columns: tuple[str, ...] = ("wiki_link", "markdown", "summary", "related")) -> DataFrame:
+    """``df`` whose texts, and lists of texts, link to the new id."""
+    kinds = dict(df.dtypes)
+    texts = {c: relink(F.col(c), old, new) for c in columns if kinds.get(c) == "string"}
+    lists = {c: F.transform(c, lambda x: relink(x, old, new)) for c in columns if kinds.get(c) == "array<string>"}
+    return df.withColumns(texts | lists)
+
+
+def live(entries: DataFrame) -> DataFrame:
+    """``entries`` without the rejected ones."""
+    return entries.where(F.coalesce("status", F.lit("")) != "rejected") if "status" in entries.columns else entries
 
 
 def relink(text: Column, old: str, new: str) -> Column:

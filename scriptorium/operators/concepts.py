@@ -98,3 +98,10 @@ def described(concepts: DataFrame) -> DataFrame:
     summary = F.concat(F.lit("This concept aggregates sources related to "), F.lower("title"), F.lit(". Key supporting materials include "), links, F.lit("."))
     x = concepts.withColumns({"wiki_link": F.concat(F.lit("[[concepts/"), F.col("concept_id"), F.lit("]]")), "summary": summary})
     return x.withColumn("search_text", tx.compact(F.concat_ws("\n", "title", F.array_join("keywords", " "), "summary")))
+
+
+def with_related(concepts: DataFrame) -> DataFrame:
+    """``concepts`` with related: links to the concepts that share sources, best first."""
+    r = related(concepts).groupBy("concept_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("[[concepts/"), F.col("other"), F.lit("]]")).alias("l")))).alias("r"))
+    x = concepts.join(r, "concept_id", "left")
+    return x.withColumn("related", F.coalesce("r.l", F.array().cast("array<string>"))).drop("r")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import text as tx
 
@@ -38,6 +38,20 @@ def by_header(documents: DataFrame) -> DataFrame:
     return _finish(x.select("doc_id", n.alias("page_no"), tx.slug(F.col("section_title")).alias("page_key"), "section_title", "text"))
 
 
+def markdown_of_html(html: Column) -> Column:
+    """The text of HTML with headings as Markdown headers; scripts, styles, comments and other markup go."""
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head)\b.*?</\1>", "")
+    headed = F.regexp_replace(bare, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", "\n# $1\n")
+    lines = F.regexp_replace(headed, r"(?i)</(p|div|li|tr|section|article)>|<br\s*/?>", "\n")
+    return _unescape(F.btrim(F.regexp_replace(F.regexp_replace(lines, r"(?s)<[^>]*>", ""), r"[ \t]*\n\s*", "\n")))
+
+
+def by_format(documents: DataFrame) -> DataFrame:
+    """Pages of documents with a file name: parts between form feeds of a PDF, sections under headers of anything else."""
+    pdf = F.lower("filename").endswith(".pdf")
+    return by_form_feed(documents.where(pdf)).unionByName(by_header(documents.where(~F.coalesce(pdf, F.lit(False)))))
+
+
 def by_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Sections of HTML: title, then the heading and paragraphs of the article, without markup.
 

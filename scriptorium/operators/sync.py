@@ -6,11 +6,14 @@ in batches, because the outside service takes them one after the other.
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.functions import identity as idf
 
@@ -52,11 +55,6 @@ def trimmed(actions: DataFrame, limit: int | None) -> DataFrame:
     return actions.orderBy(rank, "sha256").limit(limit)
 
 
-def batches(rows: DataFrame, order: str, size: int = BATCH) -> DataFrame:
-    """``rows`` with a batch number for a bounded list of actions."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
-
-
 def payloads(local: DataFrame, collection: str | None = None) -> DataFrame:
     """(sha256, payload): the item of the library as JSON, without empty fields."""
     filled = lambda c: F.nullif(F.col(c), F.lit("")) if c in local.columns else F.lit(None).cast("string")
@@ -128,6 +126,7 @@ class Outcome:
     created: int = 0
     updated: int = 0
     deleted: int = 0
+    attached: int = 0
     skipped: int = 0
     failed: int = 0
     mappings: dict = field(default_factory=dict)
@@ -142,35 +141,56 @@ def created_rows(response: dict) -> dict[int, dict]:
     return out
 
 
-def run(client, actions: DataFrame, items: DataFrame, mappings: dict[str, dict], pacer: Pacer, on_conflict: str = "skip") -> Outcome:
+MAPPING = "sha256 string, key string, version long, doc_id string, last_fingerprint string, last_path string, attachment_key string, last_attachment string"
+
+
+def mapping_rows(spark: SparkSession, mappings: dict[str, dict]) -> DataFrame:
+    """The state of a sync as a table; empty for no mappings."""
+    names = [c.split()[0] for c in MAPPING.split(", ")]
+    return spark.createDataFrame([(sha, *(m.get(n) for n in names[1:])) for sha, m in sorted(mappings.items())], MAPPING)
+
+
+def mappings_of(state: DataFrame) -> dict[str, dict]:
+    """The stored mappings by sha256: what a run works on, a row for each item of the outside library."""
+    return {r["sha256"]: {k: v for k, v in r.asDict().items() if k != "sha256" and v is not None} for r in state.toLocalIterator()}
+
+
+def run(client, actions: DataFrame, items: DataFrame, mappings: dict[str, dict], pacer: Pacer, on_conflict: str = "skip", files: DataFrame | None = None) -> Outcome:
     """Apply the plan. items: sha256, doc_id, path, fingerprint, payload. mappings: by sha256, key and version.
 
     client has create(list), update(key, payload, version), delete(key, version) and
-    version(key); update and delete raise Conflict. on_conflict: skip, or local to try
-    again with the latest version.
+    version(key), and may have last_headers, whose wait is kept; update and delete raise Conflict. on_conflict: skip, or local to try
+    again with the latest version. files: sha256, payload and fingerprint of linked files, created below their new item.
     """
     if on_conflict not in ("skip", "local"):
         raise ValueError("on_conflict is skip or local")
     out = Outcome(mappings={k: dict(v) for k, v in mappings.items()})
 
+    def ask(function, *args):
+        try:
+            return pacer.call(function, *args)
+        finally:
+            pacer.heed(getattr(client, "last_headers", None))
+
     def stored(r, key, version):
-        out.mappings[r["sha256"]] = {"key": key, "version": version, "doc_id": r["doc_id"], "last_fingerprint": r["fingerprint"], "last_path": r["path"]}
+        entry = out.mappings.get(r["sha256"], {})
+        out.mappings[r["sha256"]] = entry | {"key": key, "version": version, "doc_id": None if r["doc_id"] is None else str(r["doc_id"]), "last_fingerprint": r["fingerprint"], "last_path": r["path"]}
 
     def settled(call, sha):
         entry = out.mappings[sha]
         for attempt in range(2):
             try:
-                return pacer.call(call, entry["key"], entry.get("version")), True
+                return ask(call, entry["key"], entry.get("version")), True
             except Conflict:
                 if attempt or on_conflict == "skip":
                     out.skipped += 1
                     return None, False
-                entry["version"] = pacer.call(client.version, entry["key"])
+                entry["version"] = ask(client.version, entry["key"])
         return None, False
 
     todo = actions.where("action <> 'delete'").join(items, "sha256").orderBy("sha256")
     for part in chunks(todo.where("action = 'create'").toLocalIterator()):
-        done = created_rows(pacer.call(client.create, [r["payload"] for r in part]))
+        done = created_rows(ask(client.create, [r["payload"] for r in part]))
         for i, r in enumerate(part):
             if i in done:
                 stored(r, done[i]["key"], done[i].get("version"))
@@ -182,6 +202,17 @@ def run(client, actions: DataFrame, items: DataFrame, mappings: dict[str, dict],
         if ok:
             stored(r, out.mappings[r["sha256"]]["key"], version)
             out.updated += 1
+    if files is not None:
+        wanted = (r for r in files.orderBy("sha256").toLocalIterator() if (m := out.mappings.get(r["sha256"])) and m.get("key") and not m.get("attachment_key"))
+        for part in chunks(wanted):
+            below = [json.dumps(json.loads(r["payload"]) | {"itemType": "attachment", "parentItem": out.mappings[r["sha256"]]["key"]}) for r in part]
+            done = created_rows(ask(client.create, below))
+            for i, r in enumerate(part):
+                if i in done:
+                    out.mappings[r["sha256"]] |= {"attachment_key": done[i]["key"], "last_attachment": r["fingerprint"]}
+                    out.attached += 1
+                else:
+                    out.failed += 1
     for r in actions.where("action = 'delete'").orderBy("sha256").toLocalIterator():
         sha = r["sha256"]
         if not out.mappings.get(sha, {}).get("key"):
@@ -193,7 +224,49 @@ def run(client, actions: DataFrame, items: DataFrame, mappings: dict[str, dict],
     return out
 
 
-DEFAULT_CONFIG = {"schema_version": 1, "library_type": "user", "library_id": None, "library_id_env": "LIBRARY_ID", "api_key_env": "LIBRARY_API_KEY", "sync_mode": "one_way", "collection_key": None, "include_attachments": False}
+def library_url(settings: dict, environment: dict) -> str:
+    """The items of the configured library."""
+    return f"{settings['api_base'].rstrip('/')}/{settings['library_type']}s/{secret(settings, environment, 'library_id')}/items"
+
+
+class HttpLibrary:
+    """Client of a library's web interface: JSON items, versions in headers, 412 for a conflict. ``send(request)`` gives a response as urlopen does."""
+
+    def __init__(self, url: str, key: str, send: Callable = urllib.request.urlopen):
+        self.url, self.key, self.send, self.last_headers = url, key, send, {}
+
+    def _call(self, method: str, path: str, body: str | None = None, version: int | None = None) -> tuple[dict, str]:
+        headers = {"Authorization": f"Bearer {self.key}", "Content-Type": "application/json"}
+        if version is not None:
+            headers["If-Unmodified-Since-Version"] = str(version)
+        try:
+            with self.send(urllib.request.Request(self.url + path, data=body.encode() if body else None, headers=headers, method=method)) as r:
+                self.last_headers = dict(r.headers)
+                return self.last_headers, r.read().decode()
+        except urllib.error.HTTPError as e:
+            self.last_headers = dict(e.headers or {})
+            if e.code == 412:
+                raise Conflict(path) from e
+            raise
+
+    def _version(self, headers: dict) -> int | None:
+        value = {k.lower(): v for k, v in headers.items()}.get("last-modified-version")
+        return int(value) if value is not None else None
+
+    def create(self, payloads: list[str]) -> dict:
+        return json.loads(self._call("POST", "", "[" + ",".join(payloads) + "]")[1])
+
+    def update(self, key: str, payload: str, version: int | None) -> int | None:
+        return self._version(self._call("PATCH", f"/{key}", payload, version)[0])
+
+    def delete(self, key: str, version: int | None) -> None:
+        self._call("DELETE", f"/{key}", None, version)
+
+    def version(self, key: str) -> int | None:
+        return json.loads(self._call("GET", f"/{key}")[1]).get("version")
+
+
+DEFAULT_CONFIG = {"schema_version": 1, "library_type": "user", "library_id": None, "library_id_env": "LIBRARY_ID", "api_key_env": "LIBRARY_API_KEY", "sync_mode": "one_way", "collection_key": None, "include_attachments": False, "api_base": None, "min_interval_ms": 1000}
 
 
 def config(given: dict | None) -> dict:

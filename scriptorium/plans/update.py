@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scriptorium.functions import text as tx
 from scriptorium.operators import catalog as cat, chapters as ch, concepts as con, keywords as kw, neardup as nd, pages as pg, render, summaries as sm
 from scriptorium.plans.workspace import Workspace
+from scriptorium.sources import enrich, files
+from scriptorium.streaming import incremental
 
 
 @dataclass(frozen=True)
@@ -21,6 +24,11 @@ class Layout:
         return f"{self.root.rstrip('/')}/{name}"
 
 
+#: Tables with rows per document, which an update takes over where nothing changed.
+PER_DOCUMENT = ("pages", "chapters", "index", "markdown")
+TABLES = ("catalog", "resolution", *PER_DOCUMENT, "concepts", "bibtex", "fingerprints")
+
+
 @dataclass(frozen=True)
 class KnowledgeBase:
     catalog: DataFrame
@@ -31,6 +39,8 @@ class KnowledgeBase:
     concepts: DataFrame
     markdown: DataFrame
     bibtex: DataFrame
+    fingerprints: DataFrame
+    plan: DataFrame
 
 
 def keyword_arrays(ranked: DataFrame, word: str) -> DataFrame:
@@ -72,39 +82,89 @@ def search_index(catalog: DataFrame, pages: DataFrame, keywords: DataFrame, summ
     )
 
 
-def build(spark: SparkSession, entries: DataFrame, pages: DataFrame | None = None) -> KnowledgeBase:
-    """entries: a catalog with texts, as catalog.from_documents gives it. Each stage is written before the next reads it; a failure stops the run."""
+def model_summaries(whole: DataFrame, pages: DataFrame, summaries: DataFrame, model: Callable[[str], str | None]) -> DataFrame:
+    """``summaries`` with a model's answer on the first pages of each document where it gives one."""
+    asked = pg.excerpt(pages).join(whole.select("doc_id", "title"), "doc_id")
+    asked = asked.select("doc_id", enrich.summary_prompt(F.coalesce("title", F.col("doc_id").cast("string")), F.col("text")).alias("text"))
+    answers = enrich.asked(asked, model)
+    return summaries.join(answers, "doc_id", "left").select("doc_id", F.coalesce(F.nullif(F.btrim("answer"), F.lit("")), "summary").alias("summary"))
+
+
+def concepts(spark: SparkSession, index: DataFrame, pages: DataFrame, ws: Workspace) -> DataFrame:
+    """The described concepts of an index, with links to related ones."""
+    return con.with_related(con.described(con.selected(spark, ws.save(con.phrase_events(index), "events"), index, pages)))
+
+
+def build(
+    spark: SparkSession, entries: DataFrame, pages: DataFrame | None = None, old: Mapping[str, DataFrame] | None = None, force: bool = False, only: Sequence = (), model: Callable[[str], str | None] | None = None,
+) -> KnowledgeBase:
+    """entries: a catalog with texts, as catalog.from_documents gives it; rejected ones are left out.
+
+    old: the tables of the last update. Documents whose fingerprint is the same keep their
+    rows, unless ``force`` is set; ``only`` (ids) are built in any case, and with it other known documents are not.
+    model: a client that summarises; the extractive summary stays where it gives no answer.
+    Each stage is written before the next reads it; a failure stops the run.
+    """
     ws = Workspace(spark, "update")
-    exact = ws.save(cat.resolve_exact(entries), "catalog")
-    pages = ws.save(pages if pages is not None else pg.by_line(exact), "pages")
+    exact = ws.save(cat.resolve_exact(cat.live(entries)), "catalog")
     resolved = ws.save(nd.resolution(exact, ws.save(nd.matches(exact, ws), "pairs"), ws), "resolution")
     whole = ws.save(nd.overlay(exact, resolved).drop("text"), "resolved")
-    live = whole.where("not is_redundant")
-    own = pages.join(live.select("doc_id"), "doc_id", "left_semi")
+    prints = incremental.page_fingerprints(whole, "model" if model else "deterministic")
+    before = old["fingerprints"].select("doc_id", "fingerprint") if old else prints.where("false")
+    plan = incremental.rebuild_plan(prints, before)
+    if force:
+        plan = plan.withColumn("action", F.when(F.col("action") == "reuse", "build").otherwise(F.col("action")))
+    if only:
+        known = F.col("doc_id").isin(*only)
+        plan = plan.join(before.select("doc_id", F.lit(True).alias("_old")), "doc_id", "left")
+        plan = plan.select("doc_id", F.when((F.col("action") != "remove") & known, "build").when((F.col("action") == "build") & F.col("_old"), "reuse").otherwise(F.col("action")).alias("action"))
+    plan = ws.save(plan, "plan")
+
+    todo = plan.where("action = 'build'").select("doc_id")
+    fresh = ws.save(whole.join(todo, "doc_id", "left_semi"), "fresh")
+    texts = exact.join(todo, "doc_id", "left_semi")
+    own_pages = ws.save(pages.join(todo, "doc_id", "left_semi") if pages is not None else pg.by_line(texts), "pages")
+    live = fresh.where("not is_redundant")
+    own = own_pages.join(live.select("doc_id"), "doc_id", "left_semi")
     chapters = ws.save(ch.compiled(own.join(live.where("source_class = 'book'").select("doc_id"), "doc_id", "left_semi")), "chapters")
     keywords, summaries = by_class(live, own)
-    index = ws.save(search_index(whole, pages, ws.save(keywords, "keywords"), ws.save(summaries, "summaries"), chapters), "index")
-    concepts = con.described(con.selected(spark, con.phrase_events(index), index, own))
-    sources = render.page(index.where("not is_redundant"), own, chapters).union(render.stub(whole))
+    summaries = ws.save(model_summaries(live, own, summaries, model) if model else summaries, "summaries")
+    index = ws.save(search_index(fresh, own_pages, ws.save(keywords, "keywords"), summaries, chapters), "index")
+    markdown = ws.save(render.page(index.where("not is_redundant"), own, chapters).union(render.stub(fresh)), "markdown")
+    new = {"pages": own_pages, "chapters": chapters, "index": index, "markdown": markdown}
+    if old:
+        new = {name: ws.save(incremental.merged(old[name], df, plan), name) for name, df in new.items()}
+    about = ws.save(concepts(spark, new["index"], new["pages"], ws), "concepts")
     cited = whole
     for c in ("doi", "isbn", "journal", "publisher", "path"):
         if c not in cited.columns:
             cited = cited.withColumn(c, F.lit(None).cast("string"))
-    return KnowledgeBase(whole, resolved, pages, chapters, index, concepts, sources, render.bibtex(cited))
+    state = prints
+    if only:  # what was not built keeps its old fingerprint, so that a later update builds it
+        kept = plan.where("action = 'reuse'").select("doc_id").join(before, "doc_id")
+        state = prints.join(kept.select("doc_id"), "doc_id", "left_anti").unionByName(kept)
+    return KnowledgeBase(whole, resolved, new["pages"], new["chapters"], new["index"], about, new["markdown"], render.bibtex(cited), ws.save(incremental.built(state), "fingerprints"), plan)
+
+
+def stored(spark: SparkSession, layout: Layout) -> dict[str, DataFrame] | None:
+    """The tables of the last update; None where there was none."""
+    try:
+        return {name: spark.read.parquet(layout.path(name)) for name in TABLES}
+    except AnalysisException:
+        return None
 
 
 def write(kb: KnowledgeBase, layout: Layout) -> None:
-    for name in ("catalog", "resolution", "pages", "chapters", "index", "concepts", "markdown", "bibtex"):
+    for name in TABLES:
         getattr(kb, name).write.mode("overwrite").parquet(layout.path(name))
 
 
 def report(kb: KnowledgeBase) -> str:
-    """A short Markdown report with the size of each table."""
-    lines = ["# Update report", ""]
+    """A Markdown report: sizes of the tables, what was built, duplicates, documents by class."""
+    lines = ["# Update report", "", f"Generated: {files.utc_now()}", ""]
     for name in ("catalog", "pages", "chapters", "concepts"):
         lines.append(f"- {name}: {getattr(kb, name).count()}")
+    counts = lambda df, c: [(r[0], r[1]) for r in df.groupBy(c).count().orderBy(c).collect()]  # noqa: E731  bounded: actions, states, classes
+    for title, df, c in (("Documents by action", kb.plan, "action"), ("Resolution", kb.resolution, "status"), ("Documents by class", kb.catalog, "source_class")):
+        lines += ["", f"## {title}", "", *(f"- {k}: {n}" for k, n in counts(df, c))]
     return "\n".join(lines) + "\n"
-
-
-def title_of(text):
-    return tx.preview(text)

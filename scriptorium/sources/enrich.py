@@ -6,13 +6,17 @@ expressions, so recorded responses can be joined like any table.
 
 from __future__ import annotations
 
+import shlex
+import subprocess
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.functions import text as tx
+from scriptorium.operators.pages import excerpt
 
 Transport = Callable[[str], tuple[int, str | None]]
 
@@ -138,5 +142,38 @@ def book_summary(chapters: DataFrame, map_model: Callable[[str], str | None], re
     return asked(x.select("doc_id", F.array_join("a.answer", "\n").alias("text")), reduce_model)
 
 
-def preview_of(text: Column) -> Column:
-    return tx.preview(text)
+def http(url: str, seconds: float = 10.0) -> tuple[int, str | None]:
+    """A transport over the network."""
+    try:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "scriptorium"}), timeout=seconds) as r:
+            return r.status, r.read().decode("utf-8", "replace")
+    except urllib.error.HTTPError as e:
+        return e.code, None
+
+
+def command_model(command: str) -> Callable[[str], str | None]:
+    """A language model behind a program that gets the prompt and prints the answer; a failing call raises."""
+    parts = shlex.split(command)
+
+    def ask(prompt: str) -> str | None:
+        done = subprocess.run(parts, input=prompt.encode(), capture_output=True, check=True)
+        return done.stdout.decode("utf-8", "replace").strip() or None
+
+    return ask
+
+
+def resolved(entries: DataFrame, transport: Transport) -> DataFrame:
+    """``entries`` with what the services know about their identifiers."""
+    return enriched(entries, parsed(fetch_dois(entries, transport)), parsed(fetch_isbns(entries, transport)))
+
+
+def metadata_prompt(text: Column) -> Column:
+    return F.concat(F.lit("Give title, author and year of this document as JSON with the keys title, author, year; null where unknown.\n\n"), text)
+
+
+def recovered(entries: DataFrame, pages: DataFrame, model: Callable[[str], str | None]) -> DataFrame:
+    """(doc_id, title, author, year) that a model reads from the first pages of incomplete entries; what was known stays."""
+    lacking = incomplete(entries).select("doc_id", "title", "author", "year")
+    texts = excerpt(pages).join(lacking, "doc_id", "left_semi").select("doc_id", metadata_prompt(F.col("text")).alias("text"))
+    found = answered_metadata(asked(texts, model)).select("doc_id", *(F.col(c).alias(f"_{c}") for c in ("title", "author", "year")))
+    return lacking.join(found, "doc_id").select("doc_id", *(F.coalesce(F.nullif(F.col(c), F.lit("")) if c != "year" else F.col(c), F.col(f"_{c}")).alias(c) for c in ("title", "author", "year")))

@@ -6,12 +6,14 @@ import json
 import subprocess
 import tempfile
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.functions import identity as idf, lexicons as lx
+from scriptorium.operators import pages as pg
 
 
 def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -22,18 +24,34 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     return x.where(F.col("suffix").isin(*lx.FILE_SUFFIXES) & ~F.col("path").contains("/rejected/"))
 
 
-def contents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """scan() with sha256, doc_id and year; the contents are hashed where they are read."""
+#: Changed files that are read by their paths; more are read with their folder.
+MOST_PATHS = 10_000
+
+
+def contents(spark: SparkSession, folder: str | list[str], recursive: bool = True) -> DataFrame:
+    """scan() with sha256, doc_id and year, of a folder or of some files; the contents are hashed where they are read."""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     x = x.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content")
     x = x.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))).where(F.col("suffix").isin(*lx.FILE_SUFFIXES) & ~F.col("path").contains("/rejected/"))
     return x.withColumns({"filename": F.substring_index("path", "/", -1), "doc_id": idf.doc_id(F.col("path")), "year": idf.path_year(F.col("path"))})
 
 
+PLAIN, HTML = (".md", ".txt", ".rst"), (".html", ".htm")
+
+
 def plain_text(files: DataFrame) -> DataFrame:
-    """``files`` with the text of the formats that are text."""
-    is_text = F.col("suffix").isin(".md", ".txt", ".rst", ".html", ".htm")
-    return files.withColumn("text", F.when(is_text, F.decode("content", "UTF-8")))
+    """``files`` with the text of the formats that are text; HTML as Markdown."""
+    text = F.decode("content", "UTF-8")
+    return files.withColumn("text", F.when(F.col("suffix").isin(*PLAIN), text).when(F.col("suffix").isin(*HTML), pg.markdown_of_html(text)))
+
+
+def with_text(files: DataFrame, extract: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``files`` with text, null where there is none, of all formats: outside programs read what is no text (``extract``: with_ocr)."""
+    known = F.col("suffix").isin(*PLAIN, *HTML)
+    other = files.where(~known)
+    found = (extract or with_ocr)(other).withColumnRenamed("path", "_path")
+    rest = other.join(found, F.col("path") == F.col("_path"), "left").drop("_path")
+    return plain_text(files.where(known)).unionByName(rest)
 
 
 def extracted(files: DataFrame, extractor: Callable[[str, bytes], str | None]) -> DataFrame:
@@ -132,6 +150,19 @@ def overrides(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in value.items()], "doc_id string, overrides string")
 
 
-def write_markdown(pages: DataFrame, folder: str, id_col: str) -> None:
-    """One Markdown text per document, in a text table partitioned by nothing: (id, markdown) rows as Parquet, so any store takes it."""
-    pages.select(id_col, "markdown").write.mode("overwrite").parquet(folder)
+def utc_now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="seconds")
+
+
+def moved(spark: SparkSession, plan: DataFrame, root: str) -> int:
+    """Move the files of an incoming plan (path, target) below ``root``; how many. A file that is there already is not overwritten."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for r in plan.toLocalIterator():
+        source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (r["path"], f"{root.rstrip('/')}/{r['target']}"))
+        fs = source.getFileSystem(conf)
+        if fs.exists(target):
+            continue
+        fs.mkdirs(target.getParent())
+        n += bool(fs.rename(source, target))
+    return n

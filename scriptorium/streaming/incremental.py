@@ -13,7 +13,7 @@ VERSION = "1"
 
 def page_fingerprints(documents: DataFrame, mode: str = "deterministic") -> DataFrame:
     """(doc_id, fingerprint): over everything a page is made of, the way of summarising included."""
-    used = [c for c in ("sha256", "source_class", "relationship", "title", "author", "year", "canonical_doc_id", "dedupe_kind", "similarity_1e4") if c in documents.columns]
+    used = [c for c in ("sha256", "source_class", "relationship", "title", "author", "year", "canonical_doc_id", "dedupe_kind", "similarity_1e4", "filename", "page_count") if c in documents.columns]
     x = documents.select("doc_id", F.lit(VERSION).alias("version"), F.lit(mode).alias("mode"), *used)
     return x.select("doc_id", idf.fingerprint("version", "mode", *used).alias("fingerprint"))
 
@@ -24,6 +24,11 @@ def rebuild_plan(now: DataFrame, before: DataFrame) -> DataFrame:
     return a.join(b, "doc_id", "full_outer").select("doc_id", F.when(F.col("a").isNull(), "remove").when(F.col("a") == F.col("b"), "reuse").otherwise("build").alias("action"))
 
 
+def built(prints: DataFrame) -> DataFrame:
+    """The state to store: fingerprints with the time of the build."""
+    return prints.withColumn("built_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+
+
 def merged(old: DataFrame, rebuilt: DataFrame, plan: DataFrame) -> DataFrame:
     """The rows to keep of the old table, and the rebuilt ones."""
     keep = plan.where("action = 'reuse'").select("doc_id")
