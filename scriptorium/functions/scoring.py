@@ -104,9 +104,21 @@ def noise_penalty2(preview: Column, text: Column, page_no: Column, book: Column)
     return own + tx.lowered(F.coalesce(text, F.lit("")), of)
 
 
-def _known(terms: Column, profile: Column, most: int) -> Column:
-    """Sum over distinct terms of their weights in the profile, each up to ``most``."""
-    return F.aggregate(terms, F.lit(0).cast("long"), lambda s, t: s + F.least(F.coalesce(F.try_element_at(profile, t), F.lit(0)).cast("long"), F.lit(most).cast("long")))
+#: Levels of a profile: the largest weight of a token that counts.
+LEVELS = 6
+
+
+def levels(token: str, weight: str) -> Column:
+    """An aggregate: a topic's tokens with a weight of at least 1, 2, ... LEVELS, an array each."""
+    return F.array(*(F.collect_list(F.when(F.col(weight) >= k, F.col(token))) for k in range(1, LEVELS + 1)))
+
+
+def known(terms: Column, profile: Column, most: int) -> Column:
+    """Sum over distinct terms of their weights in the profile (levels), each up to ``most``; intersections of sets, no search for each term."""
+    total = F.lit(0)
+    for k in range(most):
+        total = total + F.size(F.array_intersect(terms, F.get(profile, F.lit(k))))
+    return total.cast("long")
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -119,7 +131,7 @@ def page_score20(preview: Column, text: Column, page_no: Column, title_terms: Co
 
     def of(t: Column, low: Column) -> Column:
         terms = F.array_distinct(tx.informative_tokens(F.substring(t, 1, 2000)))
-        topical = tx.let(terms, lambda x: 60 * _overlap(title_terms, x) + 7 * _known(x, profile, 5))
+        topical = tx.let(terms, lambda x: 60 * _overlap(title_terms, x) + 7 * known(x, profile, 5))
         score = -10 * noise + topical
         if book:
             cues = lambda p: (
@@ -144,16 +156,17 @@ def page_score20(preview: Column, text: Column, page_no: Column, title_terms: Co
 
 def sentence_score20(sentence: Column, title_terms: Column, profile: Column, book: bool = False) -> Column:
     """Twenty times the score of a sentence for a summary."""
-    return tx.let(F.array_distinct(tx.informative_tokens(sentence)), lambda terms: _sentence20(sentence, terms, title_terms, profile, book))
+    return tx.let(F.array_distinct(tx.informative_tokens(sentence)), lambda terms: scored20(sentence, terms, title_terms, profile, book))
 
 
-def _sentence20(sentence: Column, terms: Column, title_terms: Column, profile: Column, book: bool) -> Column:
+def scored20(sentence: Column, terms: Column, title_terms: Column, profile: Column, book: bool = False) -> Column:
+    """The same with the sentence's distinct informative tokens given."""
     return tx.let(F.lower(sentence), lambda low: _scored20(sentence, low, terms, title_terms, profile, book))
 
 
 def _scored20(sentence: Column, low: Column, terms: Column, title_terms: Column, profile: Column, book: bool) -> Column:
     n = F.size(terms)
-    score = 80 * _overlap(title_terms, terms) + 9 * _known(terms, profile, 6) + 3 * F.least(n, F.lit(14)) + 60 * tx.count_of(low, lx.SUMMARY_CUES)
+    score = 80 * _overlap(title_terms, terms) + 9 * known(terms, profile, 6) + 3 * F.least(n, F.lit(14)) + 60 * tx.count_of(low, lx.SUMMARY_CUES)
     if book:
         score = (
             score

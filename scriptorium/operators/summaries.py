@@ -11,12 +11,12 @@ NOTHING = "No summary available yet."
 
 
 def _profiles(titles: DataFrame, pages: DataFrame, keys: list[str], book: bool = False) -> DataFrame:
-    """(keys, title, title_terms, profile: map of a topic's token weights)."""
+    """(keys, title, title_terms, profile: the topic's tokens by levels of weight)."""
     head = titles.withColumn("doc_id", F.struct(*keys)) if keys != ["doc_id"] else titles
     body = pages.withColumn("doc_id", F.struct(*keys)) if keys != ["doc_id"] else pages
-    p = kw.topic_profile(head, body, book).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("profile"))
+    p = kw.topic_profile(head, body, book).groupBy("doc_id").agg(sc.levels("token", "weight").alias("profile"))
     x = head.select("doc_id", "title", F.array_distinct(tx.informative_tokens(F.coalesce("title", F.lit("")))).alias("title_terms")).join(p, "doc_id", "left")
-    x = x.withColumn("profile", F.coalesce("profile", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))))
+    x = x.withColumn("profile", F.coalesce("profile", F.array(*(F.array().cast("array<string>") for _ in range(sc.LEVELS)))))
     return x.select("doc_id.*", "title", "title_terms", "profile") if keys != ["doc_id"] else x
 
 
@@ -54,16 +54,24 @@ def _finish(titles: DataFrame, found: DataFrame, keys: list[str], default: str =
 
 def sentence_candidates(titles: DataFrame, pages: DataFrame, low: int = 60, high: int = 320) -> DataFrame:
     """(doc_id, page_no, sentence, terms, score20) from the eight best pages of each document."""
-    x = pages.select("doc_id", "page_no", "preview", "text").join(_profiles(titles, pages, ["doc_id"]), "doc_id")
+    about = _profiles(titles, pages, ["doc_id"])
+    x = pages.select("doc_id", "page_no", "preview", "text").join(about, "doc_id")
     score = sc.page_score20(F.col("preview"), F.col("text"), F.col("page_no"), F.col("title_terms"), F.col("profile"))
-    return _sentences(_top_pages(x, ["doc_id"], score, 8), low, high)
+    # pages are ranked without the profile, which the few that are left get again from the same shuffle
+    top = _top_pages(x.select("doc_id", "page_no", "text", score.alias("_score")), ["doc_id"], F.col("_score"), 8)
+    return _sentences(top.select("doc_id", "page_no", "text").join(about, "doc_id"), low, high)
 
 
 def _sentences(x: DataFrame, low: int, high: int) -> DataFrame:
-    s = x.select("doc_id", "page_no", "title", "title_terms", "profile", F.explode(F.transform(tx.sentences(tx.compact(F.col("text"))), tx.compact)).alias("sentence"))
-    s = s.where(F.length("sentence").between(low, high) & ~(F.lower("sentence").eqNullSafe(F.lower("title"))))
-    s = s.withColumn("sentence", _strip_title(F.col("sentence"), F.col("title")))
-    return s.withColumns({"score20": sc.sentence_score20(F.col("sentence"), F.col("title_terms"), F.col("profile")), "terms": F.array_distinct(tx.informative_tokens(F.col("sentence")))})
+    """(doc_id, page_no, sentence, score20, terms): scored inside the page's row, so no sentence carries the profile."""
+    title = F.col("title")
+    found = F.filter(F.transform(tx.sentences(tx.compact(F.col("text"))), tx.compact), lambda s: F.length(s).between(low, high) & ~F.lower(s).eqNullSafe(F.lower(title)))
+
+    def scored(s: Column) -> Column:
+        of = lambda t, terms: F.struct(t.alias("sentence"), sc.scored20(t, terms, F.col("title_terms"), F.col("profile")).alias("score20"), terms.alias("terms"))
+        return tx.let(_strip_title(s, title), lambda t: tx.let(F.array_distinct(tx.informative_tokens(t)), lambda terms: of(t, terms)))
+
+    return x.select("doc_id", "page_no", F.explode(F.transform(found, scored)).alias("z")).select("doc_id", "page_no", "z.sentence", "z.score20", "z.terms")
 
 
 def generic(titles: DataFrame, pages: DataFrame, most: int = 4) -> DataFrame:
@@ -97,7 +105,7 @@ def book(titles: DataFrame, pages: DataFrame, most: int = 4) -> DataFrame:
     preface = x.where(F.col("page_no").between(F.col("preface"), F.col("preface") + 1) & (F.col("page_no") <= 24))
 
     terms = F.array_distinct(tx.informative_tokens(F.substring("t", 1, 2000)))
-    known = F.aggregate(terms, F.lit(0).cast("long"), lambda s, w: s + F.least(F.coalesce(F.try_element_at(F.col("profile"), w), F.lit(0)), F.lit(4)).cast("long"))
+    known = sc.known(terms, F.col("profile"), 4)
     score = (
         -10 * sc.noise_penalty2(F.col("preview"), F.col("text"), F.col("page_no"), F.lit(True))
         + F.when((F.col("p") == "preface") | F.col("low").startswith("preface "), 400).otherwise(0)
@@ -128,7 +136,7 @@ def book(titles: DataFrame, pages: DataFrame, most: int = 4) -> DataFrame:
         + F.when(any_of("we shall concentrate", "we shall discuss"), 80).otherwise(0)
         + F.when(any_of("the basic ideas", "emphasis on"), 80).otherwise(0)
         - F.when(low.contains("for example") & low.contains("ranging"), 40).otherwise(0)
-        - F.when((F.size(F.array_intersect("title_terms", "terms")) < 1) & (F.size(F.array_intersect("terms", F.map_keys("profile"))) < 3), 120).otherwise(0)
+        - F.when((F.size(F.array_intersect("title_terms", "terms")) < 1) & (F.size(F.array_intersect("terms", F.get("profile", F.lit(0)))) < 3), 120).otherwise(0)
     )
     scored = s.withColumn("score20", sc.sentence_score20(F.col("sentence"), F.col("title_terms"), F.col("profile"), True) + bonus).where("score20 > 0")
     return _finish(titles, diverse(scored.select("doc_id", "sentence", "terms", "score20"), ["doc_id"], most), ["doc_id"])
@@ -163,7 +171,7 @@ def chapter(chapters: DataFrame, pages: DataFrame, most: int = 3) -> DataFrame:
         -F.when(low.startswith("chapter "), 240).otherwise(0) + 30 * shared
         + F.when(low.contains("this chapter"), 80).otherwise(0)
         + F.when(tx.has_any(low, ("we will", "we describe", "we discuss")), 30).otherwise(0)
-        - F.when((shared < 1) & (F.size(F.array_intersect("terms", F.map_keys("profile"))) < 3), 80).otherwise(0)
+        - F.when((shared < 1) & (F.size(F.array_intersect("terms", F.get("profile", F.lit(0)))) < 3), 80).otherwise(0)
     )
     scored = s.withColumn("score20", sc.sentence_score20(F.col("sentence"), F.col("title_terms"), F.col("profile")) + bonus).where("score20 > 0")
     return _finish(chapters, diverse(scored.select(*keys, "sentence", "terms", "score20"), keys, most), keys)

@@ -239,7 +239,8 @@ SELECT 'source' AS kind, doc_id::VARCHAR AS id, t::BIGINT AS score100, row_numbe
 CONCEPTS = f"""nt AS (SELECT doc_id, {qterms('title')} AS t FROM c JOIN (SELECT doc_id AS id FROM x WHERE cls <> 'duplicate') ON id = doc_id WHERE title <> '' AND NOT {has_any(f"lower({compact('title')})", lx.CONCEPT_NOISE)}),
 cg AS ({' UNION ALL '.join(f"SELECT doc_id, t[i:i + {n - 1}] AS g, {n + 4} AS w FROM nt, unnest(range(1, len(t) - {n} + 2)) AS u(i)" for n in (2, 3))}),
 ce AS (SELECT doc_id, array_to_string(g, ' ') AS phrase, w, len(g) AS n FROM cg WHERE g[1] NOT IN {among(lx.CONCEPT_GENERIC)} AND g[-1] NOT IN {among(lx.CONCEPT_GENERIC)}
-  AND len(list_filter(g, lambda t: regexp_full_match(t, '[0-9]+') OR t IN {among(lx.CONCEPT_GENERIC_INNER)})) = 0 AND array_to_string(g, ' ') NOT IN {among(lx.CONCEPT_GENERIC_PHRASES)}),
+  AND len(list_filter(g, lambda t: regexp_full_match(t, '[0-9]+') OR t IN {among(lx.CONCEPT_GENERIC_INNER)})) = 0 AND array_to_string(g, ' ') NOT IN {among(lx.CONCEPT_GENERIC_PHRASES)}
+  UNION ALL SELECT pk.doc_id, lower(phrase), 5, len(string_split(phrase, ' ')) FROM ({ORACLES["phrase_keywords"]}) pk JOIN x USING (doc_id) WHERE cls <> 'duplicate' AND len(string_split(phrase, ' ')) >= 2),
 cc AS (SELECT phrase, count(DISTINCT doc_id) AS support, (2 * sum(w) + 8 * count(DISTINCT doc_id) + 3 * any_value(n))::BIGINT AS score2 FROM ce GROUP BY phrase HAVING count(DISTINCT doc_id) BETWEEN 2 AND 24)"""
 ORACLES["concept_candidates"] = f"WITH {EXACT}, {CONCEPTS} SELECT phrase, support, score2 FROM cc"
 ORACLES["related_concepts"] = f"""WITH {EXACT}, {CONCEPTS}, cd AS (SELECT DISTINCT phrase, doc_id FROM ce JOIN cc USING (phrase)),
@@ -266,4 +267,95 @@ ORACLES["trim_plan"] = f"WITH {SYNC} SELECT sha256, action FROM pl ORDER BY CASE
 ORACLES["topk_per_group_scale"] = "SELECT l_suppkey, l_orderkey, l_linenumber, rank FROM (SELECT l_suppkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3"
 ORACLES["class_counts_scale"] = "SELECT l_returnflag, l_linestatus, count(*) AS lines, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY ALL"
 ORACLES["form_feed_pages"] = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS page_no, 'p' || i AS page_key, p[i] AS text FROM (SELECT doc_id, string_split(text, chr(12)) AS p FROM {rows(sa.PAGED, 'doc_id, text')}), unnest(range(1, len(p) + 1)) AS u(i) WHERE {compact('p[i]')} <> ''"
-ORACLES["redundancy_overlay"] = f"WITH {EXACT} SELECT doc_id, canonical AS canonical_doc_id, CASE WHEN cls = 'duplicate' THEN 'exact_duplicate_of' END AS dedupe_kind, cls = 'duplicate' AS is_redundant FROM x"
+ORACLES["redundancy_overlay"] = f"""SELECT doc_id, canonical_doc_id, CASE status WHEN 'near_duplicate' THEN 'near_duplicate_of' WHEN 'exact_duplicate' THEN 'exact_duplicate_of' END AS dedupe_kind, status <> 'canonical' AND canonical_doc_id <> doc_id AS is_redundant, similarity_1e4
+FROM ({ORACLES["near_dup_clusters"]})"""
+ORACLES["clean_previews"] = rf"""WITH {DOCS} SELECT doc_id, {compact(rf"translate(regexp_replace(regexp_replace({compact('title')}, '(?i)^chapter\s+\d+\s*', ''), '^\d+(\.\d+)*\s*', ''), '–—', '  ')")} AS preview FROM c"""
+ORACLES["headings"] = rf"""WITH v AS (SELECT text, {compact('text')} AS t FROM {rows([(t,) for t in sa.HEADINGS], 'text')}) SELECT text, coalesce(try_cast(nullif(regexp_extract(lower(t), '^chapter\s+(\d+)\b', 1), '') AS BIGINT), -1) AS chapter,
+CASE WHEN regexp_matches(t, '^\d+\.\d+\s+.+$') THEN regexp_extract(t, '^(\d+)\.', 1)::BIGINT ELSE -1 END AS section_chapter, CASE WHEN regexp_matches(t, '^\d+\.\d+\s+.+$') THEN regexp_extract(t, '^\d+\.\d+\s+(.+)$', 1) END AS title FROM v"""
+
+
+def singular(t: str) -> str:
+    return f"CASE WHEN {t} LIKE '%ies' AND length({t}) > 4 THEN {t}[:-4] || 'y' WHEN {t} LIKE '%s' AND length({t}) > 4 AND NOT regexp_matches({t}, '(ss|us|is)$') THEN {t}[:-2] ELSE {t} END"
+
+
+ORACLES["token_forms"] = f"""WITH {DOCS}, t AS (SELECT DISTINCT unnest({tok('text')}) AS token FROM d) SELECT token, {singular('token')} AS singular, CASE WHEN token LIKE '%s' AND length(token) > 4 THEN token[:-2] ELSE token END AS plural_signature,
+CASE token {' '.join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in lx.DISPLAY_WORDS.items())} ELSE upper(token[1]) || lower(token[2:]) END AS titled FROM t"""
+ORACLES["structural_noise"] = rf"""WITH {DOCS}, s AS (SELECT doc_id, unnest(l) AS sentence, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, string_split(regexp_replace({compact('text')}, '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1)) AS l FROM d))
+SELECT doc_id, i::BIGINT AS i, regexp_matches(sentence, '^\d+(\.\d+)*\b') OR {has_any('lower(sentence)', (*lx.BOILERPLATE, *lx.STRUCTURAL_NOISE, *lx.STRUCTURE_WORDS))}
+  OR length(regexp_replace(sentence, '[^:]', '', 'g')) >= 3 OR length(regexp_replace(sentence, '[^0-9]', '', 'g')) >= 8 AS noise FROM s"""
+ORACLES["content_types"] = f"""SELECT doc_id, CASE lower((['pdf', 'MD', 'html', 'epub', 'xyz', '', 'txt'])[doc_id % 7 + 1]) {' '.join(f"WHEN {lit(a.lstrip('.'))} THEN {lit(b)}" for a, b in lx.MIME_TYPES.items())} ELSE 'application/octet-stream' END AS content_type FROM documents"""
+CITED = f"""{EXACT}, ci AS (SELECT *, CASE WHEN doc_id % 4 <> 0 THEN 1990 + doc_id % 30 END AS year, CASE WHEN doc_id % 3 = 0 THEN '10.1000/' || doc_id END AS doi, CASE WHEN doc_id % 5 = 0 THEN '9783161484100' END AS isbn, CASE WHEN doc_id % 2 = 0 THEN 'Journal' END AS journal,
+  doc_id % 7 = 0 AS cite, CASE WHEN doc_id % 6 <> 0 THEN source || ', Ann; Bo Ray' END AS author FROM x), cb AS (SELECT *, title <> '' AND year IS NOT NULL AND (cite OR doi IS NOT NULL OR isbn IS NOT NULL) AS citeable FROM ci)"""
+
+
+def entry_kind(article: str, book: str, other: str) -> str:
+    return f"CASE WHEN doi IS NOT NULL AND journal IS NOT NULL THEN '{article}' WHEN isbn IS NOT NULL OR cls = 'book' THEN '{book}' WHEN doi IS NOT NULL THEN '{article}' ELSE '{other}' END"
+
+
+def escaped(x: str) -> str:
+    return f"array_to_string(list_transform(string_split({x}, ''), lambda c: CASE c " + " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in lx.BIBTEX_ESCAPES.items()) + " ELSE c END), '')"
+
+
+def people(x: str) -> str:
+    """Structs last, first, name of a list with semicolons."""
+    listed = f"list_filter(list_transform(string_split({x}, ';'), lambda a: {compact('a')}), lambda a: a <> '')"
+    comma = "list_filter(list_transform(string_split(a, ','), lambda q: trim(q)), lambda q: q <> '')"
+    parts = f"list_transform({listed}, lambda a: {{'a': a, 'c': CASE WHEN contains(a, ',') AND len({comma}) >= 2 THEN {comma} ELSE [] END, 's': string_split(a, ' ')}})"
+    last = "CASE WHEN len(p.c) > 0 THEN p.c[1] WHEN len(p.s) >= 2 THEN p.s[-1] END"
+    first = "CASE WHEN len(p.c) > 0 THEN array_to_string(p.c[2:], ' ') WHEN len(p.s) >= 2 THEN array_to_string(p.s[:-2], ' ') END"
+    return f"list_transform({parts}, lambda p: {{'last': {last}, 'first': {first}, 'name': CASE WHEN len(p.c) = 0 AND len(p.s) < 2 THEN p.a END}})"
+
+
+def bib_authors(x: str) -> str:
+    return f"CASE WHEN coalesce({x}, '') = '' THEN 'Unknown' ELSE array_to_string(list_transform({people(x)}, lambda m: coalesce(m.name, m.last || ', ' || m.first)), ' and ') END"
+
+
+def bib_entry(kind: str) -> str:
+    line = lambda name, v: f"CASE WHEN coalesce({v}, '') <> '' THEN '  {name} = {{' || {escaped(v)} || '}},' END"
+    return f"""concat_ws(chr(10), '@' || {kind} || '{{' || doc_id || ',', {line('title', 'title')}, '  author = {{' || {escaped(bib_authors('author'))} || '}},', '  year = {{' || year || '}},', {line('journal', 'journal')}, {line('publisher', 'publisher')}, {line('doi', 'doi')}, {line('isbn', 'isbn')}, {line('file', 'path')}, '}}')"""
+
+
+ORACLES["citeable_items"] = f"WITH {CITED} SELECT doc_id, citeable, {entry_kind('article', 'book', 'misc')} AS entry, {entry_kind('journalArticle', 'book', 'document')} AS item FROM cb"
+ORACLES["bibtex_corpus"] = f"WITH {CITED}, z AS (SELECT *, NULL AS publisher, 'library/' || filename AS path FROM cb) SELECT doc_id, {bib_entry(entry_kind('article', 'book', 'misc'))} AS entry FROM z WHERE citeable AND cls <> 'duplicate'"
+ORACLES["bibtex_entries"] = f"""WITH z AS (SELECT *, source_class AS cls FROM {rows([(*r[:9], r[9]) for r in sa.CITED], 'doc_id, title, author, year, doi, isbn, journal, publisher, path, source_class')})
+SELECT doc_id, {bib_entry(entry_kind('article', 'book', 'misc'))} AS entry FROM z WHERE title <> '' AND year IS NOT NULL AND (doi IS NOT NULL OR isbn IS NOT NULL) AND cls <> 'duplicate'"""
+JS = "coalesce(to_json({})::VARCHAR, 'null')".format
+ORACLES["sync_records"] = f"""WITH {CITED}, r AS (SELECT * FROM cb WHERE citeable AND cls <> 'duplicate' QUALIFY row_number() OVER (PARTITION BY sha ORDER BY doc_id DESC) = 1)
+SELECT sha AS sha256, doc_id, sha256('{{"author":' || {JS('author')} || ',"doc_id":' || doc_id || ',"doi":' || {JS('doi')} || ',"isbn":' || {JS('isbn')} || ',"journal":' || {JS('journal')} || ',"path":"library/' || filename || '","publisher":null,"source_class":"' || cls || '","title":' || {JS('title')} || ',"year":' || year || '}}') AS fingerprint,
+sha256('{{"filename":"' || filename || '","path":"library/' || filename || '"}}') AS attachment_fingerprint FROM r"""
+ORACLES["fingerprints"] = f"""WITH {EXACT} SELECT doc_id, sha256('{{"author":null,"canonical_doc_id":' || canonical || ',"filename":' || {JS('filename')} || ',"mode":"deterministic","page_count":' || page_count || ',"relationship":'
+|| CASE WHEN cls = 'duplicate' THEN '{{"kind":"exact_duplicate_of","target_doc_id":' || canonical || '}}' ELSE 'null' END || ',"sha256":"' || sha || '","source_class":"' || cls || '","title":' || {JS('title')} || ',"version":"1","year":null}}') AS fingerprint FROM x"""
+ORACLES["creators"] = f"""WITH a AS (SELECT c_custkey AS k, c_name || ', ' || c_mktsegment || ' Jr; ' || lower(c_mktsegment) || '  ' || c_name || ';; solo' || c_custkey AS authors FROM customer)
+SELECT k, array_to_string(list_transform({people('authors')}, lambda m: coalesce(m.last, '-') || '|' || coalesce(m.first, '-') || '|' || coalesce(m.name, '-')), ';') AS creators, {bib_authors('authors')} AS bibtex FROM a"""
+ORACLES["whole_texts"] = f"WITH {PAGES} SELECT doc_id, sha256(string_agg(text, chr(10) ORDER BY page_no)) AS whole, sha256(substring(string_agg(text, chr(10) ORDER BY page_no) FILTER (page_no <= 10), 1, 25000)) AS excerpt FROM p GROUP BY doc_id"
+ORACLES["quality_flags"] = f"""WITH {PAGES} SELECT doc_id, count(*) AS page_count, sum(strlen(text))::BIGINT AS text_bytes, CASE WHEN doc_id IN (SELECT l.doc_id FROM labels l WHERE toxic = 1) THEN 'ocr_extracted' ELSE '' END AS flags, avg(length(text)) < 50 AS needs_ocr FROM p GROUP BY doc_id"""
+ORACLES["stub_pages"] = f"""WITH {EXACT}, s AS (SELECT *, CASE WHEN title = '' THEN doc_id::VARCHAR ELSE title END AS t FROM x WHERE cls = 'duplicate') SELECT doc_id, concat_ws(chr(10), '---', 'doc_id: "' || doc_id || '"', 'title: "' || replace(t, '"', '\\"') || '"', 'source_class: "duplicate"',
+'canonical_doc_id: "' || canonical || '"', 'keywords: []', 'aliases:', '  - "' || filename || '"', 'related:', '  - "exact_duplicate_of: [[source/' || canonical || ']]"', '---', '', '# ' || t, '', '## Status', '', 'Exact duplicate of [[source/' || canonical || ']].') || chr(10) AS markdown FROM s"""
+ORACLES["relationship_lines"] = f"WITH {EXACT} SELECT doc_id, CASE WHEN cls = 'duplicate' THEN 'exact_duplicate_of: [[source/' || canonical || ']]' ELSE '' END AS line FROM x"
+ORACLES["canonical_filenames"] = rf"""WITH v AS (SELECT *, list_filter(list_transform(string_split(coalesce(author, ''), ';'), lambda a: trim(a)), lambda a: a <> '') AS who FROM {rows(sa.NAMED, 'year, title, author, doc_id, suffix')}),
+l AS (SELECT *, list_transform(who, lambda p: trim(CASE WHEN contains(p, ',') THEN split_part(p, ',', 1) ELSE regexp_extract(p, '[^ ]*$') END)) AS names FROM v),
+n AS (SELECT *, CASE len(names) WHEN 0 THEN NULL WHEN 1 THEN names[1] WHEN 2 THEN names[1] || '-' || names[2] ELSE names[1] || '-etal' END AS makers,
+  nullif(array_to_string(list_filter(regexp_split_to_array(coalesce(title, ''), '[^\p{{L}}\p{{N}}_]+'), lambda w: lower(w) NOT IN {among(lx.TITLE_SMALL_WORDS)})[1:4], ' '), '') AS short, CASE WHEN year <> 0 THEN year::VARCHAR END AS y FROM l),
+r AS (SELECT *, CASE WHEN makers IS NULL AND short IS NULL THEN nullif(CASE WHEN y IS NOT NULL AND starts_with(doc_id, y) THEN ltrim(substring(doc_id, length(y) + 1), '-_ ') ELSE doc_id END, '') END AS rest FROM n),
+q AS (SELECT *, string_split({slug("concat_ws('-', y, makers, short, rest)")}, '-') AS parts FROM r)
+SELECT doc_id, CASE WHEN coalesce(y, makers, short, rest) IS NULL THEN 'untitled-document' ELSE array_to_string(list_filter(parts, lambda p, i: i = 1 OR p <> parts[i - 1]), '-') END || suffix AS filename FROM q"""
+ORACLES["markdown_sections"] = rf"""WITH m AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^(#+\s+.*)$', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS l FROM {rows(sa.MARKDOWN, 'doc_id, text')}),
+s AS (SELECT doc_id, unnest(l) AS part, generate_subscripts(l, 1) - 1 AS i FROM m),
+b AS (SELECT doc_id, i, CASE WHEN i = 0 THEN 'Frontmatter' ELSE trim(regexp_replace(split_part(part, chr(2), 1), '^[#\s]+|[#\s]+$', '', 'g')) END AS section_title,
+  regexp_replace(CASE WHEN i = 0 THEN part ELSE substring(part, instr(part, chr(2)) + 1) END, '^\s+|\s+$', '', 'g') AS text FROM s)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i))::INT AS page_no, {slug('section_title')} AS page_key, section_title, text, length(text) AS char_count, {preview('text')} AS preview FROM b WHERE text <> '' OR i = 0"""
+
+
+def unescaped(x: str) -> str:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, {lit(a)}, {lit(b)})"
+    return x
+
+
+PLAIN = unescaped(compact("regexp_replace(q, '(?s)<[^>]*>', ' ', 'g')"))
+ORACLES["html_sections"] = rf"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g') AS h FROM pages),
+a AS (SELECT page_id, h, regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>', 1) AS art FROM b),
+l AS (SELECT page_id, list_concat(list_transform(regexp_extract_all(h, '(?is)<title[^>]*>(.*?)</title>', 1)[1:1], lambda q: {{'kind': 'title', 'text': {PLAIN}}}), list_transform(regexp_extract_all(art, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda q: {{'kind': 'h1', 'text': {PLAIN}}}),
+  list_transform(regexp_extract_all(art, '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda q: {{'kind': 'p', 'text': {PLAIN}}})) AS f FROM a),
+e AS (SELECT page_id, unnest(f) AS s, generate_subscripts(f, 1) - 1 AS i FROM l)
+SELECT page_id, i::INT AS section_no, s.kind AS kind, s.text AS text FROM e WHERE s.text <> ''"""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scriptorium import samples as sa
-from scriptorium.functions import identity as idf, lexicons as lx, scoring as sc, text as tx
+from scriptorium.functions import identity as idf, scoring as sc, text as tx
 from scriptorium.operators import catalog as cat, chapters as ch, concepts as con, keywords as kw, neardup as nd, pages as pg, render, search as se, summaries as sm, sync
 from scriptorium.plans import update
 from scriptorium.plans.workspace import Workspace
@@ -194,19 +194,20 @@ def search_two_stage(spark, d):
     return se.two_stage(spark, sa.QUERY, ix, p).withColumn("rank", F.col("rank").cast("long")).withColumn("score100", F.col("score100").cast("long"))
 
 
-def _title_events(spark, d):
-    x = exact(spark, d).select("doc_id", "title", "source_class", F.lit(False).alias("is_redundant"), F.array().cast("array<string>").alias("keywords"))
-    return con.phrase_events(x)
+def _events(spark, d):
+    phrases = update.keyword_arrays(kw.paper(entries(spark, d), lines(spark, d)), "phrase")
+    x = exact(spark, d).join(phrases, "doc_id", "left").select("doc_id", "title", "source_class", F.lit(False).alias("is_redundant"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
+    return Workspace(spark, "events").save(con.phrase_events(x), "events")
 
 
 @query
 def concept_candidates(spark, d):
-    return con.candidates(_title_events(spark, d))
+    return con.candidates(_events(spark, d))
 
 
 @query
 def related_concepts(spark, d):
-    e = _title_events(spark, d)
+    e = _events(spark, d)
     docs_of = e.join(con.candidates(e).select("phrase"), "phrase", "left_semi").groupBy("phrase").agg(F.collect_set("doc_id").alias("supporting_doc_ids"))
     x = con.related(docs_of.select(F.col("phrase").alias("concept_id"), F.col("phrase").alias("title"), "supporting_doc_ids"))
     return x.withColumn("rank", F.col("rank").cast("long"))
@@ -221,7 +222,7 @@ def concepts_selected(spark, d):
 
 @query
 def compare_keywords(spark, d):
-    x = update.keyword_arrays(kw.generic(entries(spark, d).where("doc_id in (1, 2)"), lines(spark, d).where("doc_id in (1, 2)")), "keyword")
+    x = update.keyword_arrays(kw.generic(entries(spark, d), lines(spark, d)), "keyword")
     return se.compare(x, 1, 2).select(*(F.array_join(c, " ").alias(c) for c in ("shared", "only_a", "only_b")))
 
 
@@ -301,9 +302,10 @@ def extraction_plan(spark, d):
 
 @query
 def redundancy_overlay(spark, d):
+    ws = Workspace(spark, "overlay")
     c = exact(spark, d)
-    none = spark.createDataFrame([], "doc_id long, canonical_doc_id long, status string, similarity_1e4 int")
-    return nd.overlay(c, none).select("doc_id", "canonical_doc_id", "dedupe_kind", "is_redundant")
+    found = ws.save(nd.resolution(c, ws.save(nd.matches(c, ws), "pairs"), ws), "resolution")
+    return nd.overlay(c, found).select("doc_id", "canonical_doc_id", "dedupe_kind", "is_redundant", F.coalesce(F.col("similarity_1e4").cast("long"), F.lit(-1).cast("long")).alias("similarity_1e4"))
 
 
 @query
@@ -323,6 +325,98 @@ def clean_orphans(spark, d):
     return cat.orphans(table(spark, d, "pages").select(F.col("page_id").alias("doc_id")), table(spark, d, "labels"))
 
 
+@query
+def clean_previews(spark, d):
+    return entries(spark, d).select("doc_id", tx.clean_preview(F.col("title")).alias("preview"))
+
+
+@query
+def headings(spark, d):
+    h = tx.section_heading(F.col("text"))
+    x = literal(spark, sa.HEADINGS, "text string")
+    return x.select("text", F.coalesce(tx.chapter_number(F.col("text")), F.lit(-1)).cast("long").alias("chapter"), F.coalesce(h["chapter"], F.lit(-1)).cast("long").alias("section_chapter"), h["title"].alias("title"))
+
+
+@query
+def token_forms(spark, d):
+    x = docs(spark, d).select(F.explode(tx.tokens(F.col("text"))).alias("token")).distinct()
+    t = F.col("token")
+    return x.select("token", F.array_join(tx.signature(t), " ").alias("singular"), F.array_join(tx.plural_signature(t), " ").alias("plural_signature"), tx.titled(t).alias("titled"))
+
+
+@query
+def structural_noise(spark, d):
+    x = docs(spark, d).select("doc_id", F.posexplode(tx.sentences(tx.compact(F.col("text")))).alias("i", "sentence"))
+    return x.select("doc_id", F.col("i").cast("long").alias("i"), sc.structural_noise(F.col("sentence")).alias("noise"))
+
+
+@query
+def content_types(spark, d):
+    suffix = F.element_at(F.array(*(F.lit(x) for x in (".pdf", ".MD", ".html", ".epub", ".xyz", "", ".txt"))), (F.col("doc_id") % 7 + 1).cast("int"))
+    return docs(spark, d).select("doc_id", idf.content_type(F.concat(F.lit("files/"), "source", F.lit("-"), F.col("doc_id").cast("string"), suffix)).alias("content_type"))
+
+
+def _cited(spark, d):
+    """Catalog rows with made-up identifiers, so that every branch is met."""
+    n = F.col("doc_id")
+    return exact(spark, d).withColumns({
+        "year": F.when(n % 4 != 0, 1990 + n % 30).cast("int"), "doi": F.when(n % 3 == 0, F.concat(F.lit("10.1000/"), n.cast("string"))), "isbn": F.when(n % 5 == 0, "9783161484100"), "journal": F.when(n % 2 == 0, "Journal"),
+        "cite": n % 7 == 0, "path": F.concat(F.lit("library/"), "filename"), "publisher": F.lit(None).cast("string"), "author": F.when(n % 6 != 0, F.concat("source", F.lit(", Ann; Bo Ray"))),
+    })
+
+
+@query
+def citeable_items(spark, d):
+    x = _cited(spark, d)
+    i = [F.col(c) for c in ("doi", "isbn", "journal", "source_class")]
+    return x.select("doc_id", idf.citeable(F.col("title"), F.col("year"), F.col("doi"), F.col("isbn"), F.col("cite")).alias("citeable"), idf.entry_type(*i, "article", "book", "misc").alias("entry"), idf.entry_type(*i, "journalArticle", "book", "document").alias("item"))
+
+
+@query
+def bibtex_corpus(spark, d):
+    return render.bibtex(_cited(spark, d))
+
+
+@query
+def sync_records(spark, d):
+    return sync.records(_cited(spark, d)).select("sha256", "doc_id", "fingerprint", "attachment_fingerprint")
+
+
+@query
+def creators(spark, d):
+    made = F.concat("c_name", F.lit(", "), "c_mktsegment", F.lit(" Jr; "), F.lower("c_mktsegment"), F.lit("  "), "c_name", F.lit(";; solo"), F.col("c_custkey").cast("string"))
+    x = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), made.alias("authors"))
+    each = F.transform(idf.creators(F.col("authors")), lambda c: F.concat_ws("|", F.coalesce(c["last"], F.lit("-")), F.coalesce(c["first"], F.lit("-")), F.coalesce(c["name"], F.lit("-"))))
+    return x.select("k", F.array_join(each, ";").alias("creators"), idf.bibtex_authors(F.col("authors")).alias("bibtex"))
+
+
+@query
+def whole_texts(spark, d):
+    p = lines(spark, d)
+    e = pg.excerpt(p).select("doc_id", F.sha2("text", 256).alias("excerpt"))
+    return pg.whole_text(p).select("doc_id", F.sha2("text", 256).alias("whole")).join(e, "doc_id")
+
+
+@query
+def quality_flags(spark, d):
+    p = lines(spark, d)
+    flags = pg.quality_flags(p, table(spark, d, "labels").where("toxic = 1").select("doc_id").distinct())
+    x = flags.join(pg.needs_ocr(p), "doc_id")
+    return x.select("doc_id", F.col("page_count").cast("long").alias("page_count"), F.col("text_bytes").cast("long").alias("text_bytes"), F.array_join("quality_flags", ",").alias("flags"), "needs_ocr")
+
+
+@query
+def stub_pages(spark, d):
+    x = exact(spark, d)
+    x = x.withColumns({"dedupe_kind": F.col("relationship.kind"), "is_redundant": F.col("source_class") == "duplicate"})
+    return render.stub(x)
+
+
+@query
+def relationship_lines(spark, d):
+    return exact(spark, d).select("doc_id", F.array_join(render.relationship(F.col("relationship.kind"), F.col("relationship.target_doc_id")), "").alias("line"))
+
+
 def _sync(spark, d):
     s = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.sha2("c_name", 256).alias("sha256"), F.col("c_mktsegment").alias("fingerprint"))
     key = F.when(F.col("k") % 7 != 0, F.concat(F.lit("key"), F.col("k").cast("string")))
@@ -358,4 +452,4 @@ def full_update(spark, d):
     return reduce(DataFrame.union, [kb.index.select(F.lit("index").alias("part"), F.col("doc_id").cast("string").alias("id"), F.sha2("search_text", 256).alias("hash")), kb.markdown.select(F.lit("page"), F.col("doc_id").cast("string"), F.sha2("markdown", 256)), render.concept(kb.concepts).select(F.lit("concept"), "concept_id", F.sha2("markdown", 256))])
 
 
-__all__ = ["QUERIES", "lx"]
+__all__ = ["QUERIES"]

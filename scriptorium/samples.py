@@ -16,6 +16,7 @@ SPECIAL = ["50% & more", "a_b^c~d", "{x} \\ $y #1", "plain", "é ü"]
 LINKED = ["[[source/old.id]] and [[source/old.id#p12]]", "[[source/old-id]]", "[[source/oldxid]] [[source/old.id#intro-a]]", "none", "[[source/old.id2]]"]
 PAGED = [(1, "one\fTwo words\f \f four"), (2, "\f\f"), (3, "single"), (4, "a\fb\fc")]
 MARKDOWN = [(1, "intro\n# First\ntext one\n## Sub part\ntext two\n# Empty\n# Last\nend"), (2, "# Only\nbody"), (3, "no header at all"), (4, "")]
+HEADINGS = ["2.3 Title here", "Chapter 4 Flow", "  CHAPTER   12", "2.3", "12.10  Spaced   out", "", "chapter x", "3 Not a section", "Chapter 7: More", "1.2.3 Deep"]
 CITED = [
     ("d1", "Flow & Heat", "Ann Lee; Ray, Bo", 2001, "10.1/x", None, "J. Flow", None, "a/x.pdf", "paper"), ("d2", "Book_1", None, 1999, None, "9783161484100", None, "Press", None, "book"), ("d3", "No year", "A B", None, "10.1/y", None, None, None, None, "paper"),
     ("d4", "Notes", "A B", 2000, None, None, None, None, None, "notes"), ("d5", "Dup", "A B", 2000, "10.1/z", None, None, None, None, "duplicate"), ("d6", "Preprint", "Plato", 2020, "10.1/p", None, None, None, "b/p.pdf", "paper"),
