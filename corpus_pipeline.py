@@ -56,7 +56,7 @@ STAGES = [
     ("pack", pack_stage),
 ]
 
-#: The classifier is no SQL; the tests hold the stages against brute force.
+#: The classifier is no SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
