@@ -112,10 +112,12 @@ def config_path(layout: update.Layout, given: str | None) -> str:
 
 
 def _described(found: DataFrame) -> DataFrame:
-    """Catalog rows of read files: what their text and name say."""
+    """Catalog rows of read files: what they, their text and their name say."""
     text = F.coalesce("text", F.lit(""))
-    pages = F.when(F.col("suffix") == ".pdf", F.size(F.split(text, "\f")))
-    x = found.withColumns({"page_count": pages.cast("int"), "title": F.when(F.col("text").isNotNull(), tx.preview(F.col("text"))), "author": F.lit(None).cast("string"), "text": text})
+    info = files.pdf_info(found).select(F.col("path").alias("_path"), F.col("title").alias("_title"), "author", "producer", "pages")
+    pages = F.when(F.col("suffix") == ".pdf", F.coalesce("pages", F.size(F.split(text, "\f"))))
+    x = found.join(info, F.col("path") == F.col("_path"), "left")
+    x = x.withColumns({"page_count": pages.cast("int"), "title": F.coalesce("_title", F.when(F.col("text").isNotNull(), tx.preview(F.col("text")))), "text": text}).drop("_path", "_title", "pages")
     x = x.withColumns({"doi": idf.doi(idf.head(F.col("text"))), "isbn": idf.isbn(idf.head(F.col("text")))})
     return x.withColumn("source_class", idf.source_class(F.col("filename"), F.col("title"), F.col("page_count"))).drop("content", "suffix")
 

@@ -43,7 +43,8 @@ def markdown_of_html(html: Column) -> Column:
     bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head)\b.*?</\1>", "")
     headed = F.regexp_replace(bare, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", "\n# $1\n")
     lines = F.regexp_replace(headed, r"(?i)</(p|div|li|tr|section|article)>|<br\s*/?>", "\n")
-    return _unescape(F.btrim(F.regexp_replace(F.regexp_replace(lines, r"(?s)<[^>]*>", ""), r"[ \t]*\n\s*", "\n")))
+    plain = F.regexp_replace(F.regexp_replace(lines, r"(?s)<[^>]*>", ""), r"[ \t]*\n\s*", "\n")
+    return _unescape(F.regexp_replace(plain, r"(?U)^\s+|\s+$", ""))
 
 
 def by_format(documents: DataFrame) -> DataFrame:

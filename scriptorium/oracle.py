@@ -243,6 +243,13 @@ ce AS (SELECT doc_id, array_to_string(g, ' ') AS phrase, w, len(g) AS n FROM cg
   UNION ALL SELECT pk.doc_id, lower(phrase), 5, len(string_split(phrase, ' ')) FROM ({ORACLES["phrase_keywords"]}) pk JOIN x USING (doc_id) WHERE cls <> 'duplicate' AND len(string_split(phrase, ' ')) >= 2),
 cc AS (SELECT phrase, count(DISTINCT doc_id) AS support, (2 * sum(w) + 8 * count(DISTINCT doc_id) + 3 * any_value(n))::BIGINT AS score2 FROM ce GROUP BY phrase HAVING count(DISTINCT doc_id) BETWEEN 2 AND 24)"""
 ORACLES["concept_candidates"] = f"WITH {EXACT}, {CONCEPTS} SELECT phrase, support, score2 FROM cc"
+TITLED = f"array_to_string(list_transform(string_split(phrase, ' '), lambda u: CASE u {' '.join(f'WHEN {lit(a)} THEN {lit(b)}' for a, b in lx.DISPLAY_WORDS.items())} ELSE upper(u[1]) || lower(u[2:]) END), ' ')"
+CONCEPT_FIELDS = (("title", 10), ("array_to_string(keywords, ' ')", 6), ("summary", 4), ("search_text", 3))
+ORACLES["concept_search"] = f"""WITH {EXACT}, {CONCEPTS}, cs AS (SELECT phrase, list(DISTINCT doc_id ORDER BY doc_id) AS ids FROM ce JOIN cc USING (phrase) GROUP BY phrase),
+ct AS (SELECT {slug('phrase')} AS concept_id, {TITLED} AS title, list_distinct(string_split(phrase, ' ')) AS kd, string_split(phrase, ' ') AS ks, ids FROM cs),
+cu AS (SELECT concept_id, title, list_filter(ks, lambda w, i: list_position(ks, w) = i) AS keywords, len(ids) AS n, 'This concept aggregates sources related to ' || lower(title) || '. Key supporting materials include ' || array_to_string(list_transform(ids[1:4], lambda q: '[[source/' || q || ']]'), ', ') || '.' AS summary FROM ct),
+cv AS (SELECT *, {compact("title || chr(10) || array_to_string(keywords, ' ') || chr(10) || summary")} AS search_text FROM cu)
+SELECT concept_id, summary, (25 * ({' + '.join(f"{w} * {score2(sa.CONCEPT_QUERY, sa.CONCEPT_TERMS, f)}" for f, w in CONCEPT_FIELDS)}) + 25 * least(n, 8))::BIGINT AS score100 FROM cv"""
 ORACLES["related_concepts"] = f"""WITH {EXACT}, {CONCEPTS}, cd AS (SELECT DISTINCT phrase, doc_id FROM ce JOIN cc USING (phrase)),
 n AS (SELECT a.phrase AS concept_id, b.phrase AS other, count(*) AS overlap FROM cd a JOIN cd b ON a.doc_id = b.doc_id AND a.phrase <> b.phrase GROUP BY ALL HAVING count(*) >= 2)
 SELECT concept_id, other, overlap, row_number() OVER (PARTITION BY concept_id ORDER BY overlap DESC, other)::BIGINT AS rank FROM n QUALIFY rank <= 6"""

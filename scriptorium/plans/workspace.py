@@ -76,3 +76,8 @@ class Workspace:
         """Remove a table written by save() that nothing will read again."""
         fs, path = self._fs(df._workspace_path)
         fs.delete(path, True)
+
+    def clear(self) -> None:
+        """Remove all tables, which nothing will read again."""
+        fs, path = self._fs(self.path)
+        fs.delete(path, True)

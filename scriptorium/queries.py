@@ -213,6 +213,17 @@ def related_concepts(spark, d):
     return x.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query
+def concept_search(spark, d):
+    """All candidate phrases as described concepts, scored for a query."""
+    e = _events(spark, d)
+    docs_of = e.join(con.candidates(e).select("phrase"), "phrase", "left_semi").groupBy("phrase").agg(F.array_sort(F.collect_set("doc_id")).alias("supporting_doc_ids"))
+    p = F.col("phrase")
+    x = docs_of.select(tx.slug(p).alias("concept_id"), tx.titled(p).alias("title"), F.array_distinct(F.split(p, " ")).alias("keywords"), F.size("supporting_doc_ids").cast("long").alias("source_count"), "supporting_doc_ids")
+    scores = se.concept_scores(con.described(x), sa.CONCEPT_QUERY, sc.terms_of(spark, sa.CONCEPT_QUERY))
+    return con.described(x).select("concept_id", "summary").join(scores, "concept_id")
+
+
 @query
 def concepts_selected(spark, d):
     ws = Workspace(spark, "concepts")

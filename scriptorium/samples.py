@@ -2,6 +2,7 @@
 
 QUERY = "the erther"
 TERMS = ["erther"]
+CONCEPT_QUERY, CONCEPT_TERMS = "sources and materials", ["sources", "materials"]
 CLASSED = [
     ("2001-solution.pdf", None, 10), ("x.pdf", "User Guide", 200), ("a.pdf", "Lecture Notes", 30), ("b.pdf", "Sample chapter", 9), ("c.pdf", "Encyclopedia of X", 900),
     ("d.pdf", "Flows", 150), ("e.pdf", "Flows", 80), ("f.pdf", "Flows", 81), ("g.pdf", "Flows", 149), ("h.pdf", None, 0), ("i.pdf", "", 1),

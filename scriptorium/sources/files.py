@@ -127,6 +127,16 @@ def info_map(text) -> object:
     return F.map_from_entries(F.transform(rows, pair))
 
 
+PDF_INFO = program("pdfinfo", "-")
+
+
+def pdf_info(files: DataFrame, extractor: Callable[[str, bytes], str | None] = PDF_INFO) -> DataFrame:
+    """(path, title, author, producer, pages) that PDFs say about themselves; blank fields are null."""
+    said = extracted(files.where(F.col("suffix") == ".pdf"), extractor).where("text is not null")
+    field = lambda name: F.nullif(F.btrim(F.regexp_extract("text", rf"(?m)^{name}:[ \t]*(.*)$", 1)), F.lit(""))
+    return said.select("path", field("Title").alias("title"), field("Author").alias("author"), field("Producer").alias("producer"), field("Pages").try_cast("int").alias("pages"))
+
+
 def text_bytes(text, size, suffix) -> object:
     """Bytes of the text: of a PDF what was extracted, else the file's."""
     return F.when(suffix == ".pdf", F.octet_length(text).cast("long")).otherwise(size)

@@ -221,3 +221,11 @@ def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         workspace.shared_dir(Fake())
+
+
+def test_pdf_info_and_text_of_other_formats(spark):
+    x = spark.createDataFrame([("a.pdf", ".pdf", b"Title:  A B\nAuthor:\nPages: 12\nTitle: again"), ("b.pdf", ".pdf", b""), ("c.html", ".html", b"<h2>Top</h2><p>one<br>two &lt;3</p>"), ("d.epub", ".epub", b"z")], "path string, suffix string, content binary")
+    say = lambda suffix, content: content.decode() or None
+    assert [tuple(r) for r in files.pdf_info(x, say).collect()] == [("a.pdf", "A B", None, None, 12)]
+    texts = {r["path"]: r["text"] for r in files.with_text(x, lambda f: files.extracted(f, say)).collect()}
+    assert texts == {"a.pdf": "Title:  A B\nAuthor:\nPages: 12\nTitle: again", "b.pdf": None, "c.html": "# Top\none\ntwo <3", "d.epub": "z"}
