@@ -16,13 +16,24 @@ coordinate throws again with twice the rank.
 
 Links. Documents that agree in all rows of some band are candidates: each bucket first
 compares its members with its least member (a star), since most copies join a class
-this way without any pair between them. Where members of one bucket are still in
-different classes, small buckets compare all members of different classes. Larger ones
-that overlap form a group, and a group compares all its members of different classes
-too: members are dealt to blocks of at most about ``BLOCK`` texts or ``BLOCK_BYTES`` of bags,
-and a task gets two blocks, whose common shingles are counted by a matrix product. Two
-blocks of the group's commonest class have no pair to compare and do not meet. Every
-candidate pair is checked against the exact similarity of the whole texts.
+this way without any pair between them. Buckets whose members are still in different
+classes are open, and open buckets that overlap form a group, in which all members of
+different classes have to be compared. A group that fits into a block is compared at once.
+For larger ones two steps do it without pairs as rows:
+
+- A proof that no link is left. Only cells that some member of another class of the group
+  has can be common with one. If a member of n cells has r such cells, a partner of m cells
+  with a similarity of at least t needs r >= t (n + m) / (1 + t) and m >= t n; a
+  member whose group has no bag of such a size has no link left and is done. A
+  text with many edits of its own, so most of a large group, goes here; the work is
+  proportional to the cells.
+- Blocks. The members left are dealt to blocks of at most about ``BLOCK`` texts or
+  ``BLOCK_BYTES`` of bags, and a task gets two blocks, whose common cells are counted by a
+  matrix product. Two blocks of the group's commonest class have no pair to compare and do
+  not meet.
+
+Every link is checked against the exact similarity of the whole texts, and no candidate
+pair of different classes is left out.
 
 Defined results. A null text is an empty one. Texts with the same words are one text
 (without any word: the same text), hence in one class; an empty class of words links to
@@ -53,8 +64,6 @@ BANDS, ROWS = 36, 7
 BATCH_CHARS = 250_000
 #: Texts, or pairs of bags, that go to Python at a time.
 TEXTS = 1000
-#: Largest bucket whose members of different classes are all compared.
-SMALL_BUCKET = 200
 #: Texts and bytes of bags in a block of a group, about; rows and columns that a matrix product takes at a time.
 BLOCK, BLOCK_BYTES, STRIP, COLUMNS = 1024, 2 << 20, 256, 2048
 
@@ -232,6 +241,32 @@ def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["u", "v", "similarity"])
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, group, c, cell) from rows (rep, group, c, bag)."""
+    for batch in batches:
+        size = np.array([len(x.as_py()) // 8 for x in batch.column(3)], np.int64)
+        cell = np.frombuffer(b"".join(x.as_py() for x in batch.column(3)), "<i8")
+        own = np.repeat(np.arange(batch.num_rows), size)
+        for at in range(0, len(own), 100_000):
+            part = pa.array(own[at : at + 100_000])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(part) for k in range(3)), pa.array(cell[at : at + 100_000])], ["rep", "group", "c", "cell"])
+
+
+def _unsettled(ws: Workspace, whole: DataFrame, similarity: float) -> DataFrame:
+    """Rows (rep, group, c, bag) of ``whole`` that may still have a link to another class of their group."""
+    flat = ws.save(whole.select("rep", "group", "c", "bag").mapInArrow(lean(_cells), "rep long, group long, c long, cell long"), "cells", TEXTS)
+    common = flat.groupBy("group", "cell").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("group", "cell")
+    common = flat.join(common.hint("merge"), ["group", "cell"]).groupBy("rep").agg(F.count("*").alias("r"))
+    n = (F.length("bag") / 8).cast("long")
+    # the sizes of a group's bags, each once
+    sizes = whole.select("group", n.alias("n")).groupBy("group").agg(F.collect_set("n").alias("sizes"))
+    x = whole.join(common, "rep").join(sizes, "group").withColumn("n", n)
+    low, high = F.col("n") * similarity - 1e-6, F.col("r") * (1 + similarity) / similarity - F.col("n") + 1e-6
+    left = ws.save(x.where(F.exists("sizes", lambda m: (m >= low) & (m <= high))).select("rep", "group", "c", "bag"), "unsettled")
+    ws.drop(flat)
+    return left
+
+
 def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     """(len(one), len(two)): how many cells two bags have in common."""
     cell = np.concatenate([*one, *two, np.empty(0, "<u8")])
@@ -290,65 +325,55 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ba
     return ids.mapInArrow(lean(_sketcher(bands, rows, size)), "doc_id long, digest binary, bands array<long>")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE_WORDS, small_bucket: int = SMALL_BUCKET, block: int = BLOCK) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE_WORDS, block: int = BLOCK, ws: Workspace | None = None) -> DataFrame:
     """One row per document: doc_id, class_id (least id of its class), kept (doc_id = class_id)."""
-    ws = Workspace(spark, "dartminhash")
+    ws = ws or Workspace(spark, "dartminhash")
     sketch = ws.save(sketches(docs, id_col, text_col, bands, rows, size), "sketch", TEXTS)
     own = sketch.where("doc_id is not null")
     texts = ws.save(own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "texts")
 
     # the members of buckets that hold two texts or more
     banded = texts.where("bands is not null").select("rep", F.explode("bands").alias("key"))
-    bucket = banded.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1")
+    bucket = banded.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = ws.save(banded.join(bucket, "key"), "members")
 
-    bags: list[DataFrame] = []
-
-    def bagged() -> DataFrame:
-        if not bags:
-            needed = ws.save(members.select("rep").distinct(), "needed")
-            found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed.withColumnRenamed("rep", "id"), "id", "left_semi")
-            bags.append(ws.save(found.mapInArrow(lean(_bagger(size)), "id long, bag binary").dropDuplicates(["id"]), "bags", TEXTS))
-        return bags[0]
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        one, two = (bagged().select(F.col("id").alias(x), F.col("bag").alias(y)) for x, y in (("u", "one"), ("v", "two")))
-        return pairs.join(two, "v").join(one, "u").select("u", "v", "one", "two").mapInArrow(lean(_likeness), "u long, v long, similarity double")
+    needed = ws.save(members.select(F.col("rep").alias("id")).distinct(), "needed")
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(needed, "id", "left_semi")
+    bags = ws.save(found.mapInArrow(lean(_bagger(size)), "id long, bag binary").groupBy("id").agg(F.min("bag").alias("bag")), "bags", TEXTS)
 
-    pairs = members.where("rep <> center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct()
-    tried = ws.save(checked(pairs), "tried", TEXTS)
-    links = tried.where(F.col("similarity") >= similarity).select("u", "v")
+    stars = members.where("rep <> center").select(F.col("center").alias("u"), F.col("rep").alias("v")).distinct()
+    one, two = (bags.select(F.col("id").alias(x), F.col("bag").alias(y)) for x, y in (("u", "one"), ("v", "two")))
+    tried = stars.join(two, "v").join(one, "u").select("u", "v", "one", "two").mapInArrow(lean(_likeness), "u long, v long, similarity double")
+    links = ws.save(tried.where(F.col("similarity") >= similarity).select("u", "v"), "stars", TEXTS)
     classes = ws.save(connected_components(links, ws), "classes")
 
-    named = members.join(classes.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "n", "center", "rep", F.coalesce("component", "rep").alias("c"))
+    named = members.join(classes.withColumnsRenamed({"node": "rep"}), "rep", "left").select("key", "center", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
     open_ = ws.save(named.join(mixed.select("key"), "key"), "open")
-    a, b = open_.where(F.col("n") <= small_bucket).alias("a"), open_.where(F.col("n") <= small_bucket).alias("b")
-    few = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.c") < F.col("b.c")))
-    fresh = few.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct()
-    fresh = ws.save(fresh.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "fresh")
-    found = []
-    if not fresh.isEmpty():
-        found.append(ws.save(checked(fresh), "more", TEXTS).where(F.col("similarity") >= similarity).select("u", "v"))
-    large = open_.where(F.col("n") > small_bucket)
-    if not large.isEmpty():
-        groups = connected_components(large.select(F.col("center").alias("u"), F.col("rep").alias("v")), ws)
-        whole = large.select("rep", "c").distinct().join(groups.withColumnsRenamed({"node": "rep", "component": "group"}), "rep")
-        whole = ws.save(whole.join(bagged().withColumnsRenamed({"id": "rep"}), "rep"), "groups")
+    ws.drop(members)
+    if not open_.isEmpty():
+        groups = connected_components(open_.select(F.col("center").alias("u"), F.col("rep").alias("v")), ws)
+        whole = open_.select("rep", "c").distinct().join(groups.withColumnsRenamed({"node": "rep", "component": "group"}), "rep")
+        whole = ws.save(whole.join(bags.withColumnsRenamed({"id": "rep"}), "rep").select("rep", "group", "c", "bag"), "groups")
+        # a group that fits into a block is compared at once; the proof makes larger ones smaller
+        by_group = whole.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.length("bag")).alias("bytes"))
+        large = ws.save(by_group.where((F.col("n") > block) | (F.col("bytes") > BLOCK_BYTES)).select("group"), "large")
+        if not large.isEmpty():
+            left = _unsettled(ws, whole.join(large, "group", "left_semi"), similarity)
+            whole = whole.join(large, "group", "left_anti").select(left.columns).union(left)
         by_class = whole.groupBy("group", "c").agg(F.count("*").alias("n"), F.sum(F.length("bag")).alias("bytes"))
-        total = by_class.groupBy("group").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "c", "bytes")).alias("top"))
+        total = by_class.groupBy("group").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "c", "bytes")).alias("top")).where("classes > 1")
         blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("long")
-        plan = total.select("group", F.col("top.c").alias("main"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others"), blocks(F.col("top.n"), F.col("top.bytes")).alias("mains"))
+        one_block = (F.col("n") <= block) & (F.col("bytes") <= BLOCK_BYTES)
+        others = F.when(one_block, 1).otherwise(blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")))
+        plan = total.select("group", F.col("top.c").alias("main"), others.alias("others"), F.when(one_block, 0).otherwise(blocks(F.col("top.n"), F.col("top.bytes"))).alias("mains"))
         # blocks of other classes come first and meet all blocks; those of the commonest class meet these only
-        h, is_main = F.xxhash64("rep"), F.col("c") == F.col("main")
-        dealt = whole.join(plan, "group").withColumn("block", F.when(is_main, F.col("others") + F.pmod(h, F.col("mains"))).otherwise(F.pmod(h, F.col("others"))))
+        h, is_main = F.xxhash64("rep"), (F.col("c") == F.col("main")) & (F.col("mains") > 0)
+        dealt = whole.join(plan, "group").withColumn("block", F.when(is_main, F.col("others") + F.pmod(h, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(h, F.col("others"))))
         met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(is_main, 0).otherwise(F.col("mains")) - 1)))
         met = met.select("group", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "c", "bag")
-        found.append(ws.save(met.groupBy("group", "i", "j").applyInArrow(_crossed(similarity), "u long, v long"), "crossed"))
-    for more in found:
-        links = links.union(more)
-    if found:
-        classes = ws.save(connected_components(links, ws), "classes")
+        more = ws.save(met.groupBy("group", "i", "j").applyInArrow(_crossed(similarity), "u long, v long"), "crossed")
+        classes = ws.save(connected_components(links.union(more), ws), "classes")
 
     by_digest = texts.select("digest", "rep").join(classes.withColumnsRenamed({"node": "rep"}), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     return own.select("doc_id", "digest").join(by_digest, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept")).union(sketch.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(True)))
@@ -357,15 +382,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents without those that a class of near-duplicates has beside its first.
 
-    All columns stay. Of rows that repeat an id, the first by text stays.
+    All columns stay. Of rows that repeat an id, the first by text (null first), then by all columns, stays.
     """
-    classes = near_duplicates(spark, docs, id_col, text_col, **how)
-    ws = Workspace(spark, "dedup")
-    classes = ws.save(classes, "classes")
+    steps = Workspace(spark, "dartminhash")
+    classes = Workspace(spark, "dedup").save(near_duplicates(spark, docs, id_col, text_col, ws=steps, **how), "classes")
+    steps.clear()
     gone = classes.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    out = docs.join(gone, id_col, "left_anti")
+    out = docs.join(gone, id_col, "left_anti").select(docs.columns)
     twice = classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col))
     if twice.isEmpty():
         return out
-    again = out.join(twice, id_col, "left_semi").dropDuplicates([id_col])
-    return out.join(twice, id_col, "left_anti").unionByName(again)
+    whole = F.struct(*(F.col(c) for c in docs.columns))
+    again = out.join(twice, id_col, "left_semi").groupBy(F.col(id_col).alias("_id")).agg(F.min_by(whole, F.struct(F.col(text_col), F.to_json(whole))).alias("_row"))
+    return out.join(twice, id_col, "left_anti").select(docs.columns).unionByName(again.select("_row.*"))

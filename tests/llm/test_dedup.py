@@ -77,7 +77,7 @@ def test_classes_equal_brute_force(spark):
             n += 1
     rows += [(n, "one two"), (n + 1, "One, TWO!"), (n + 2, ""), (n + 3, None), (n + 4, "!!!"), (n + 5, "a"), (n + 6, "一 二 三 四 五 六"), (n + 7, "x " * 30000), (n + 8, "x " * 30001)]
     docs = spark.createDataFrame([(d, t, d, "s") for d, t in rows], "doc_id long, text string, digest long, rep string")
-    got = {r["doc_id"]: r["class_id"] for r in dm.near_duplicates(spark, docs, small_bucket=8).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in dm.near_duplicates(spark, docs, block=8).collect()}
     assert got == brute(rows)
 
 
@@ -101,7 +101,7 @@ def naive_ends(data):
                 h += int(cdc._GEAR[data[e - 1 - j]]) << j
         h = (h & 0xFFFFFFFF) >> (cdc.WINDOW - 10) & 1023
         after = data[e] if e < n else 0
-        most = 256 if data[e - 1] in b" \n\t\r" else 64 if after >= 0xE0 else 1
+        most = cdc.AFTER_SPACE if data[e - 1] in b" \n\t\r" else cdc.WIDE if after >= 0xE0 else cdc.ELSE
         whole = after & 0xC0 != 0x80
         if whole and (h < most and e - last >= cdc.LEAST or e - last >= cdc.MOST) or e == n:
             out.append(e)
@@ -183,10 +183,26 @@ def test_audit_widens_the_beam():
     x = rng.normal(size=(400, 8)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1)[:, None]
     bad = hnsw.Graph(x, [np.full((400, 2), -1)])  # no links: searches find their entries only
-    r, c, beam = hnsw.audited(bad, x, 0.6, beam=4)
+    beam = hnsw.audited(bad, x, 0.6, beam=4)
+    r, c = bad.hits(x, 0.6, beam)
     assert beam > 4 and len(r) == (x @ x.T >= 0.6).sum()
 
 
+def test_audit_measures_where_links_are_rare():
+    # no query but eight has a hit, and the graph has no links: only planted probes can show that the search finds nothing
+    rng = np.random.default_rng(7)
+    x, q = (y / np.linalg.norm(y, axis=1)[:, None] for y in rng.normal(size=(2, 4000, 64)).astype(np.float32))
+    q[11::500] = x[70:78]
+    bad = hnsw.Graph(x, [np.full((4000, 2), -1)])
+    beam = hnsw.audited(bad, q, 0.9)
+    r, c = bad.hits(q, 0.9, beam)
+    assert beam > hnsw.WIDEST and sorted(zip(r.tolist(), c.tolist())) == [(11 + 500 * i, 70 + i) for i in range(8)]
+    good = hnsw.Graph.build(x, rng.random(4000))
+    beam = hnsw.audited(good, q, 0.9)
+    r, c = good.hits(q, 0.9, beam)
+    assert beam <= hnsw.WIDEST and sorted(zip(r.tolist(), c.tolist())) == [(11 + 500 * i, 70 + i) for i in range(8)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 40])
 def test_small_graphs(n):
     rng = np.random.default_rng(n)
@@ -221,7 +237,7 @@ def test_links_of_large_mixed_buckets_equal_brute_force(spark):
     want = brute(rows)
     assert len(set(want.values())) > 100
     for block in (dm.BLOCK, 60):
-        assert {r["doc_id"]: r["class_id"] for r in dm.near_duplicates(spark, docs, small_bucket=20, block=block).collect()} == want
+        assert {r["doc_id"]: r["class_id"] for r in dm.near_duplicates(spark, docs, block=block).collect()} == want
 
 
 def test_earlier_documents_with_parts_of_a_passage(spark):
@@ -236,3 +252,46 @@ def test_earlier_documents_with_parts_of_a_passage(spark):
     text = dict(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: (r["first_doc_id"], text[r["doc_id"]][r["start"] : r["end"]]) for r in cdc.repeats(spark, docs).collect()} == want
+
+
+def test_passages_of_short_words_and_copies_of_whole_texts(spark):
+    rnd = random.Random(13)
+    short = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=rnd.choice((1, 2)))) for _ in range(n))
+    rows, want = [], {}
+    for k in range(40):  # passages of 52 words of one or two letters: few chunks or none
+        p = short(52)
+        rows += [(2 * k, short(30) + " " + p + " " + short(30)), (2 * k + 1, short(30) + " " + p + " " + short(30))]
+        want[2 * k + 1] = (2 * k, p)
+    whole = prose(rnd, 90)
+    rows += [(100 + i, f" {whole}\n") for i in range(50)] + [(200, whole + " and more"), (201, "few words"), (202, "few words")]
+    want |= {100 + i: (100, whole) for i in range(1, 50)} | {200: (100, whole)}
+    rows += [(150, prose(rnd, 60)), (150, whole), (7, prose(rnd, 60))]  # repeated ids
+    want[150] = (100, whole)
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, version int")
+    found = cdc.repeats(spark, docs.union(docs.where("doc_id = 3"))).collect()
+    text = {d: {t for e, t in rows if e == d} for d, _ in rows}
+    assert {r["doc_id"] for r in found} == set(want)
+    for r in found:
+        first, p = want[r["doc_id"]]
+        assert r["first_doc_id"] == first and any(p in t[r["start"] : r["end"]] for t in text[r["doc_id"]])
+
+
+def test_stretches_equal_brute_force(spark):
+    # documents made of a few phrases: every repeated stretch of 50 words is found, and nothing else
+    rnd = random.Random(14)
+    phrases = [prose(rnd, n) for n in (7, 11, 13, 17, 23, 40)] + ["a b c d e f g h i j", "x " * 300, "word", "漢字かな交じり文 " * 3]
+    rows = [(i, " ".join(rnd.choice(phrases) for _ in range(rnd.randint(1, 12)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = {d: t.split() for d, t in rows}
+    first, spans = {}, {}
+    for d, w in words.items():
+        for i in range(len(w) - 49):
+            first.setdefault(tuple(w[i : i + 50]), d)
+    for d, w in words.items():
+        spans[d] = {j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d for j in range(i, i + 50)}
+    got = {d: set() for d in words}
+    for r in cdc.repeats(spark, docs).collect():
+        t = dict(rows)[r["doc_id"]]
+        at = len(t[: r["start"]].split())
+        got[r["doc_id"]] |= set(range(at, at + len(t[r["start"] : r["end"]].split())))
+    assert got == spans and sum(map(bool, spans.values())) > 10
