@@ -6,13 +6,16 @@ source is released at floor(i q / a) and due at ceil((i + 1) q / a), and of the
 blocks the one due earliest gets the slot. As the shares add up to q, every block meets
 its deadline, so up to any slot a source has had less than one block more or fewer than
 its share. The schedule repeats every q slots, so one period per phase is all that is
-computed in sequence; the slot of any block follows from its number. A phase ends when
-a source has no blocks left; the rest go on with weights in proportion. Nothing is
-dropped or repeated.
+computed in sequence; the slot of any block follows from its number. A source without
+blocks left leaves its slots empty, and a phase ends when half of its sources have none
+left; the rest go on with weights in proportion. So phases together have at most twice
+as many rows as there are sources. Nothing is dropped or repeated.
 
-Scale. The driver handles one row per source and q slots per phase. Ranks within a
-source come from counts of hash buckets of about ``BUCKET`` rows and a window in each
-bucket, so a source with most rows is spread over all tasks.
+Scale. The driver handles a row per source and phase, and ``PERIOD`` slots in a period, or
+``FINE`` for each source where that is more. Their table is broadcast up to ``SENT``
+slots, and joined by source beyond. Ranks within a source come from counts of hash
+buckets of about ``BUCKET`` rows and a window in each bucket, so a source with most rows
+is spread over all tasks.
 
 Defined results. A null source is a source of its own. Weights for absent sources are
 ignored; a source without a given weight gets the square root of its number of
@@ -25,18 +28,21 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.plans.workspace import Workspace
 
-#: Documents in a block; slots in a period; rows in a bucket, about; buckets that a window takes at once.
-BLOCK, PERIOD, BUCKET, FAN = 16, 1000, 2048, 512
+#: Documents in a block; slots in a period, and for each source at least; rows in a bucket, about; buckets that a window takes at once.
+BLOCK, PERIOD, FINE, BUCKET, FAN = 16, 1000, 16, 2048, 512
+#: Slots in a table that is broadcast (4 MB).
+SENT = 1_000_000
 
 
 def shares(weights: dict, period: int) -> dict:
     """Whole shares of ``period`` slots, at least 1 each, by largest remainder."""
-    period = max(period, len(weights))
+    period = max(period, FINE * len(weights))
     total = sum(weights.values())
     exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
     out = {s: 1 + math.floor(x) for s, x in exact.items()}
@@ -77,10 +83,10 @@ def schedule(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
         share = shares({s: weights[s] for s in done}, period)
         slots, q = period_slots(share), sum(share.values())
         ends = {s: (j := blocks[s] - done[s] - 1) // share[s] * q + slots[s][j % share[s]] + 1 for s in done}
-        length = min(ends.values())
+        length = sorted(ends.values())[(len(ends) - 1) // 2]
         for s in list(done):
             whole, rest = divmod(length, q)
-            n = whole * share[s] + sum(x < rest for x in slots[s])
+            n = min(whole * share[s] + bisect_left(slots[s], rest), blocks[s] - done[s])
             if n:
                 rows.append((s, done[s], done[s] + n, now, share[s], q, slots[s]))
                 done[s] += n
@@ -98,12 +104,17 @@ def _target(counts: dict, weights: dict | None) -> dict:
     return {s: given.get(s, mean) for s in counts}
 
 
-def positions(spark: SparkSession, docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD, prefix: str = "") -> DataFrame:
-    """``docs`` with columns (named with ``prefix``) block, offset, release, deadline, slot, position.
+def positions(spark: SparkSession, docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    """``docs`` with columns block, offset, release, deadline, slot, position.
 
     position orders the mix: slot * block + place in the block. release and deadline are
     slots, as the phase's weight sets them.
     """
+    return _placed(spark, docs, weights, id_col, source_col, block, period, "")[0]
+
+
+def _placed(spark: SparkSession, docs: DataFrame, weights: dict | None, id_col: str, source_col: str, block: int, period: int, prefix: str) -> tuple[DataFrame, int]:
+    """positions() with ``prefix`` before the new columns, and the number of slots."""
     ws = Workspace(spark, "pfair")
     at = lambda x: f"{prefix}{x}"
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
@@ -130,16 +141,17 @@ def positions(spark: SparkSession, docs: DataFrame, weights: dict | None = None,
     rank = F.col(at("_before")) + F.col(at("_r"))
     ranked = dealt.join(starts, [s, b]).withColumns({at("block"): F.floor(rank / block), at("offset"): rank % block})
     n = F.col(at("block"))
-    # at most (sources)^2 rows and `period` slots per phase: the configuration bounds their size
-    placed = ranked.join(F.broadcast(phases), (F.col(s) == F.col(at("_p"))) & (n >= F.col(first)) & (n < F.col(last)))
+    size = sum(len(r[-1]) for r in plan)
+    placed = ranked.join(F.broadcast(phases) if size <= SENT else phases.hint("merge"), (F.col(s) == F.col(at("_p"))) & (n >= F.col(first)) & (n < F.col(last)))
     j = n - F.col(first)
     slot = F.col(from_) + F.floor(j / F.col(share)) * F.col(q) + F.get(F.col(slots), (j % F.col(share)).cast("int"))
-    return placed.select(
+    out = placed.select(
         *(F.col(c) for c in docs.columns), at("block"), at("offset"),
         (F.col(from_) + F.floor(j * F.col(q) / F.col(share))).alias(at("release")),
         (F.col(from_) + F.ceil((j + 1) * F.col(q) / F.col(share))).alias(at("deadline")),
         slot.alias(at("slot")), (slot * block + F.col(at("offset"))).alias(at("position")),
     )
+    return out, max((r[3] + (j := r[2] - r[1] - 1) // r[4] * r[5] + r[6][j % r[4]] + 1 for r in plan), default=0)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
@@ -147,6 +159,10 @@ def mixed(spark: SparkSession, docs: DataFrame, weights: dict | None = None, id_
     prefix = "_mix_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = f"_{prefix}"
-    placed = positions(spark, docs, weights, id_col, source_col, block, period, prefix)
+    placed, slots = _placed(spark, docs, weights, id_col, source_col, block, period, prefix)
     at = f"{prefix}position"
-    return placed.select(*(F.col(c) for c in docs.columns), at).repartitionByRange(F.col(at)).sortWithinPartitions(at).drop(at)
+    # the slots are known, so ranges need no sample of the rows
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    step = max(1, math.ceil(slots * block / parts))
+    ranged = placed.select(*(F.col(c) for c in docs.columns), at).repartitionById(parts, F.floor(F.col(at) / step).cast("int"))
+    return ranged.sortWithinPartitions(at).drop(at)
