@@ -38,8 +38,8 @@ from scriptorium.llm.tokens import encoder
 from scriptorium.plans.workspace import Workspace
 
 END_ID = 1
-#: Documents that train the dictionary; bytes of a dictionary and of the ids that a sample document gives at most; documents in a file, about.
-SAMPLE, DICTIONARY, SHARE, SHARD = 1024, 65536, 16384, 8192
+#: Documents that train the dictionary; bytes of a dictionary; ids that a sample document gives at most; documents in a file, about; files, about, beyond which they have more documents.
+SAMPLE, DICTIONARY, SHARE, SHARD, FILES = 1024, 65536, 16384, 8192, 50_000
 LEVEL = 3
 
 MAGIC, TAIL = b"IDZSTD01", b"IDZSTDIX"
@@ -47,12 +47,15 @@ ENTRY, FOOTER = struct.Struct("<qQQIII"), struct.Struct("<QQ8s")
 
 
 def serialised(ids: bytes, width: int) -> bytes:
-    """Little-endian 32-bit ids as ids of ``width`` bytes."""
+    """Little-endian 32-bit ids as ids of ``width`` bytes; ValueError for one that has no room."""
     if width == 4:
         return ids
     import numpy as np
 
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() >= 65536:
+        raise ValueError(f"the id {wide.max()} does not fit into two bytes: use width 4")
+    return wide.astype("<u2").tobytes()
 
 
 def widened(data: bytes, width: int) -> bytes:
@@ -86,7 +89,9 @@ def store(uri: str):
     """(filesystem, path) of a URI in any store that pyarrow knows."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+    if uri.startswith(("s3a://", "s3n://")):  # Hadoop's names for the store
+        uri = "s3://" + uri[6:]
+    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else uri.replace("file:", "file://", 1))
 
 
 def write_file(uri: str, documents: Iterator[tuple[int | None, bytes]], dictionary: bytes, width: int, level: int = LEVEL) -> tuple[int, int, int]:
@@ -131,11 +136,12 @@ class Reader:
             yield None if null else doc, start, self.ids(n)
 
 
-def write(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, sample: int = SAMPLE, dictionary_size: int = DICTIONARY, shard: int = SHARD, width: int = 2, level: int = LEVEL) -> tuple[DataFrame, bytes]:
+def write(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, sample: int = SAMPLE, dictionary_size: int = DICTIONARY, shard: int = SHARD, width: int = 2, level: int = LEVEL, destination: str | None = None) -> tuple[DataFrame, bytes]:
     """Write all documents in ascending order of id. (manifest, dictionary).
 
     Manifest: file, part, docs, ids, bytes; parts ascend with the ids. width 2 is for
-    vocabularies of at most 65,536 ids.
+    vocabularies of at most 65,536 ids; a larger id fails. destination: a folder that all
+    executors reach, for files that stay; else they go with the session.
     """
     ws = Workspace(spark, "ids")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -151,13 +157,12 @@ def write(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "
 
     picked = near.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample).mapInArrow(lean(encoded), "doc_id long, data binary")
     dictionary = train([bytes(r["data"]) for r in picked.collect()], dictionary_size)
-    files, path = store(f"{ws.path}/files")
+    root = destination.rstrip("/") if destination else f"{ws.path}/files"
+    files, path = store(root)
     files.create_dir(path)
     with files.open_output_stream(f"{path}/{hashlib.sha256(dictionary).hexdigest()}.dict") as out:
         out.write(dictionary)
 
-    root = f"{ws.path}/files"
-
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -175,8 +180,9 @@ def write(spark: SparkSession, docs: DataFrame, vocabulary: str, id_col: str = "
         docs_, ids_, bytes_ = write_file(uri, all_rows(), dictionary, width, level)
         yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([docs_], pa.int64()), pa.array([ids_], pa.int64()), pa.array([bytes_], pa.int64())], ["file", "part", "docs", "ids", "bytes"])
 
-    parts = max(1, math.ceil(n / shard))
-    ranged = d.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    parts = max(1, min(FILES, math.ceil(n / shard)))
+    # the start of the text spreads rows that share an id, null ones too, over several files
+    ranged = d.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return ws.save(ranged.mapInArrow(lean(write_part), "file string, part long, docs long, ids long, bytes long"), "manifest"), dictionary
 
 
