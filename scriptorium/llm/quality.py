@@ -103,13 +103,13 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.interp(self.raw(x), self.knots, self.levels)
 
-    def column(self, text: Column) -> Column:
-        """The score of each text."""
+    def column(self, text: Column, measured: bool = False) -> Column:
+        """The score of each text, or of its statistics where these are ``measured``."""
         model = self
 
         @F.pandas_udf("double")
         def score(texts: pd.Series) -> pd.Series:
-            out = pd.Series(model.scores(np.array([statistics(t) for t in texts]).reshape(-1, N_STATS)))
+            out = pd.Series(model.scores(np.array([x if measured else statistics(x) for x in texts]).reshape(-1, N_STATS)))
             release()
             return out
 
@@ -148,11 +148,16 @@ def _equations(model: Model):
     return sums
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", features: int = FEATURES, ridge: float = RIDGE) -> Model:
-    """Fit on the documents that have a label and are not held out."""
+def measure(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ids and, in place of the texts, their statistics, written once for fitting and scoring."""
+    return Workspace(spark, "quality").save(docs.select(id_col, _statistics(F.col(text_col)).alias(text_col)), "statistics", 1000)
+
+
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", features: int = FEATURES, ridge: float = RIDGE, measured: bool = False) -> Model:
+    """Fit on the documents that have a label and are not held out. measured: docs is what measure() gave."""
     ws = Workspace(spark, "quality")
     y = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where("y is not null and id is not null").where(~held_out(F.col("id")))
-    x = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where(F.col("id").isNotNull() & ~held_out(F.col("id"))).select("id", _statistics("t").alias("x"))
+    x = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where(F.col("id").isNotNull() & ~held_out(F.col("id"))).select("id", (F.col("t") if measured else _statistics("t")).alias("x"))
     rows = ws.save(x.join(y, "id").select("id", "x", "y", (F.pmod(F.xxhash64("id"), F.lit(CALIBRATE)) == 0).alias("curve")), "rows", 1000)
 
     moments = [f(F.element_at("x", i + 1)) for i in range(N_STATS) for f in (F.avg, F.stddev_pop)]
@@ -190,9 +195,9 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     return Model(model.mean, model.scale, frequency, phase, weights, np.r_[low, knots, high], np.r_[0.0, np.clip(levels, 1e-6, 1 - 1e-6), 1.0])
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
-    x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), model.column(F.col(text_col)).alias("score"))
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", measured: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document. measured: docs is what measure() gave."""
+    x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), model.column(F.col(text_col), measured).alias("score"))
     return x.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -23,8 +23,8 @@ def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return quality.scored(docs, quality.fit(spark, docs, _table(spark, sf_dir, "labels")))
+    docs = quality.measure(spark, _table(spark, sf_dir, "documents"))
+    return quality.scored(docs, quality.fit(spark, docs, _table(spark, sf_dir, "labels"), measured=True), measured=True)
 
 
 def op4_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
