@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations only.
 
-A text's terms are its lower-case words between white space; a term's weight w is its
+A text's terms are its lower-case words between spaces, tabs, line breaks and form feeds; a term's weight w is its
 count. For sample j a hash of the term gives r and c, both Gamma(2, 1), and b, uniform
 on [0, 1): t = floor(ln w / r + b), and the term's value is c exp(-r (t - b + 1)). The
 sample is the term of least value with its t. Two texts agree in a sample with a
@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.plans.workspace import Workspace
 
-SAMPLES = 32
+#: Samples of a fingerprint, and those that one row of a term takes part in.
+SAMPLES, LANE = 64, 4
 #: Rows in a range, about; bounds of ranges on the driver at most; partitions of the texts per configured shuffle partition.
 RANGE, BOUNDS, SPLIT = 256, 512, 4
 NULL_KEY = -(2**63)
@@ -66,12 +67,13 @@ def with_next(ws: Workspace, docs: DataFrame, id_col: str, text_col: str, rows:
     bounds = sorted(set(quantiles))
     # never null, so that a join adds no filter to one of the branches that share the shuffle
     d = keyed.withColumn("bucket", F.coalesce(_bucket(F.col("k"), bounds, max(1, math.ceil(n / rows / bins))), F.lit(0)))
-    # one row per range, ids only
-    heads = d.groupBy("bucket").agg(F.max("k").alias("k"))
-    order = Window.orderBy("bucket")
-    top = Window.orderBy(F.desc("bucket"))
-    heads = heads.select("bucket", F.lag("k").over(order).alias("below"), F.first("k").over(top).alias("first"))
-    heads = ws.save(heads.select(F.col("bucket").alias("into"), F.coalesce("below", "first").alias("k")), "heads")
+    # one row per range, ids only: the range below is in the same bin, or the last one of the bin below
+    heads = d.groupBy("bucket").agg(F.max("k").alias("k")).withColumn("bin", F.floor(F.col("bucket") / 2**31))
+    tops = heads.groupBy("bin").agg(F.max("k").alias("top"))  # a row per bin, BOUNDS + 1 at most
+    every = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tops = tops.select("bin", F.coalesce(F.lag("top").over(Window.orderBy("bin")), F.max("top").over(every)).alias("before"))
+    heads = heads.withColumn("below", F.lag("k").over(Window.partitionBy("bin").orderBy("bucket"))).join(tops, "bin")
+    heads = ws.save(heads.select(F.col("bucket").alias("into"), F.coalesce("below", "before").alias("k")), "heads")
     ghosts = d.join(heads, "k").select(F.coalesce("into", F.lit(0)).alias("bucket"), F.lit(True).alias("ghost"), "k", "text")
     parts = SPLIT * int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
     x = d.select("bucket", F.lit(False).alias("ghost"), "k", "text").union(ghosts).repartition(parts, "bucket")
@@ -91,23 +93,29 @@ def terms(text: Column) -> Column:
 def samples(counted: DataFrame, keys: list[str], weights: dict[str, str], k: int = SAMPLES) -> DataFrame:
     """counted: (keys, term long, a count per weight column). One row per keys: for each name in weights an array of k samples (null without terms).
 
-    The term's random numbers are drawn once for all weight columns.
+    The term's random numbers are drawn once for all weight columns. Each term is taken once
+    for each ``LANE`` samples: aggregates of more columns make code that the JVM leaves interpreted.
     """
-    x = counted.select(*keys, "term", *(F.when(F.col(w) > 0, F.log(F.col(w).cast("double"))).alias(f"ln_{name}") for name, w in weights.items()))
+    lanes = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(k / LANE) - 1))).alias("lane")
+    x = counted.select(*keys, "term", *(F.when(F.col(w) > 0, F.log(F.col(w).cast("double"))).alias(f"ln_{name}") for name, w in weights.items()), lanes)
     aggs = []
     for name in weights:
-        for j in range(k):
-            h = F.xxhash64("term", F.lit(j))
+        for i in range(LANE):
+            j = F.col("lane") * LANE + i
+            h = F.xxhash64("term", j)
             r = _gamma(h, 0)
-            g = F.xxhash64("term", F.lit(-1 - j))
+            g = F.xxhash64("term", -1 - j)
             c = _gamma(g, 0)
             b = (F.shiftrightunsigned(h, 32).cast("double") + F.shiftrightunsigned(g, 32).cast("double") * 2.0**-32) * 2.0**-32
             t = F.floor(F.col(f"ln_{name}") / r + b)
             value = F.log(c) - r * (t.cast("double") - b + 1.0)
-            mark = F.xxhash64("term", t).bitwiseAND(2**32 - 1)
-            aggs.append(F.min(F.shiftleft(((value + 64.0) * 2.0**24).cast("long"), 32).bitwiseOR(mark)).alias(f"{name}{j}"))
-    out = x.groupBy(*keys).agg(*aggs)
-    return out.select(*keys, *(F.when(F.col(f"{name}0").isNotNull(), F.array(*(F.col(f"{name}{j}") for j in range(k)))).alias(name) for name in weights))
+            # an odd factor: a term's values of t have different marks
+            mark = F.col("term").bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(2**32 - 1)
+            aggs.append(F.min(F.shiftleft(((value + 64.0) * 2.0**24).cast("long"), 32).bitwiseOR(mark)).alias(f"{name}{i}"))
+    each = x.groupBy(*keys, "lane").agg(*aggs)
+    parts = F.struct("lane", *(F.array(*(F.col(f"{name}{i}") for i in range(LANE))).alias(name) for name in weights))
+    out = each.groupBy(*keys).agg(F.array_sort(F.collect_list(parts)).alias("s"))
+    return out.select(*keys, *(F.when(F.get(F.get(f"s.{name}", F.lit(0)), F.lit(0)).isNotNull(), F.slice(F.flatten(f"s.{name}"), 1, k)).alias(name) for name in weights))
 
 
 def likeness(a: Column, b: Column, k: int = SAMPLES) -> Column:
