@@ -29,7 +29,7 @@ def score2(query: str, text: Column, spark_terms: list[str]) -> Column:
     def of(found: Column, low: Column) -> Column:
         score = F.when(low.contains(phrase), 6).otherwise(0)
         for term in spark_terms:
-            score = score + _occurrences(F.size(F.filter(found, _equals(term))))
+            score = score + occurrences(F.size(F.filter(found, _equals(term))))
         return F.when(F.size(found) > 0, score).otherwise(0)
 
     def maybe(low: Column) -> Column:
@@ -41,7 +41,8 @@ def score2(query: str, text: Column, spark_terms: list[str]) -> Column:
     return tx.let(F.lower(text), maybe)
 
 
-def _occurrences(n: Column) -> Column:
+def occurrences(n: Column) -> Column:
+    """Twice the score of a term that a text has n times."""
     return F.when(n > 0, 2 + F.least(n - 1, F.lit(4))).otherwise(0)
 
 
@@ -49,7 +50,7 @@ def score2_by(query: Column, text: Column) -> Column:
     """The same for a query in a column."""
 
     def of(found: Column) -> Column:
-        add = lambda total, term: total + _occurrences(F.size(F.filter(found, lambda t: t == term)))
+        add = lambda total, term: total + occurrences(F.size(F.filter(found, lambda t: t == term)))
         terms = tx.query_terms(query)
         score = F.aggregate(terms, F.lit(0), add) + F.when(F.lower(text).contains(tx.compact(F.lower(query))), 6).otherwise(0)
         return F.when((F.size(terms) > 0) & (F.size(found) > 0), score).otherwise(0)

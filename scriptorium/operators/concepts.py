@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.functions import scoring as sc, text as tx
 from scriptorium.plans.workspace import Workspace
 
 LEAST_SUPPORT, MOST_SUPPORT = 2, 24
+#: Candidates that the walk of selected() takes at a time.
+MOST_BLOCK = 8192
 
 
 def phrase_events(index: DataFrame) -> DataFrame:
@@ -31,14 +33,48 @@ def candidates(events: DataFrame) -> DataFrame:
     return x.select("phrase", "support", (2 * F.col("w") + 8 * F.col("support") + 3 * F.size(F.split("phrase", " "))).cast("long").alias("score2"))
 
 
+def _scores2(phrases: Column, words: Column, text: Column) -> Column:
+    """Twice the scores of a text for each of ``phrases`` (terms, low), as scoring.score2_by has them. words: the distinct terms.
+
+    The text is cut into tokens once, and each word is counted once, however many phrases have it.
+    """
+
+    def of(found: Column, low: Column) -> Column:
+        present = F.array_intersect(words, found)
+        # counted without a lambda over the tokens
+        counts = F.map_from_arrays(present, F.transform(present, lambda w: F.size(found) - F.size(F.array_remove(found, w))))
+
+        def each(counts: Column) -> Column:
+            add = lambda total, t: total + F.coalesce(sc.occurrences(F.try_element_at(counts, t)), F.lit(0))
+            score = lambda p: F.aggregate(p["terms"], F.lit(0), add) + F.when(low.contains(p["low"]), 6).otherwise(0)
+            return F.transform(phrases, lambda p: F.when((F.size(p["terms"]) > 0) & (F.size(found) > 0), score(p)).otherwise(0))
+
+        return tx.let(counts, each)
+
+    return tx.let(tx.tokens(text), lambda found: tx.let(F.lower(text), lambda low: of(found, low)))
+
+
 def supporting(events: DataFrame, found: DataFrame, index: DataFrame, pages: DataFrame, most: int = 6) -> DataFrame:
-    """(phrase, doc_id, score2, rank): the best documents of each candidate phrase, with their two best pages."""
+    """(phrase, doc_id, score2, rank): the best documents of each candidate phrase, with their two best pages.
+
+    A document's phrases come to its fields and pages as one array, so a text is read once and not for each phrase.
+    """
     pairs = events.select("phrase", "doc_id").distinct().join(found.select("phrase"), "phrase", "left_semi")
-    p = F.col("phrase")
-    s = lambda c: sc.score2_by(p, F.coalesce(c, F.lit("")))
-    fields = pairs.join(index.select("doc_id", "title", "keywords", "summary", "search_text"), "doc_id")
-    fields = fields.select("phrase", "doc_id", (5 * s(F.col("title")) + 3 * s(F.array_join("keywords", " ")) + 2 * s(F.col("summary")) + s(F.col("search_text"))).alias("f")).where("f > 0")
-    page = pairs.join(pages.select("doc_id", "page_no", "preview", "text"), "doc_id").select("phrase", "doc_id", "page_no", (sc.score2_by(p, F.col("text")) - sc.signal_penalty2(F.col("preview"))).alias("s")).where("s > 0")
+    p = F.struct("phrase", tx.query_terms(F.col("phrase")).alias("terms"), tx.compact(F.lower("phrase")).alias("low"))
+    by_doc = pairs.groupBy("doc_id").agg(F.collect_list(p).alias("ps"))
+    by_doc = by_doc.withColumn("words", F.array_distinct(F.flatten("ps.terms")))
+    s = lambda c: _scores2(F.col("ps"), F.col("words"), F.coalesce(c, F.lit("")))
+    # a row for each phrase of which anything says something
+    split = lambda scores: F.explode(F.filter(F.arrays_zip(F.col("ps.phrase").alias("phrase"), scores.alias("s")), lambda z: z["s"] > 0)).alias("z")
+    total = F.zip_with(
+        F.zip_with(s(F.col("title")), s(F.array_join("keywords", " ")), lambda a, b: 5 * a + 3 * b),
+        F.zip_with(s(F.col("summary")), s(F.col("search_text")), lambda a, b: 2 * a + b), lambda a, b: a + b,
+    )
+    fields = by_doc.join(index.select("doc_id", "title", "keywords", "summary", "search_text"), "doc_id")
+    fields = fields.select("doc_id", split(total)).select("z.phrase", "doc_id", F.col("z.s").alias("f"))
+    page = by_doc.join(pages.select("doc_id", "page_no", "preview", "text"), "doc_id")
+    less = F.transform(s(F.col("text")), lambda n: n - F.col("penalty"))
+    page = page.withColumn("penalty", sc.signal_penalty2(F.col("preview"))).select("doc_id", "page_no", split(less)).select("z.phrase", "doc_id", "page_no", "z.s")
     page = page.withColumn("nth", F.row_number().over(Window.partitionBy("phrase", "doc_id").orderBy(F.desc("s"), "page_no"))).where("nth <= 2").groupBy("phrase", "doc_id").agg(F.sum("s").alias("s"))
     x = fields.join(page, ["phrase", "doc_id"], "left").select("phrase", "doc_id", (F.col("f") + F.coalesce("s", F.lit(0))).cast("long").alias("score2"))
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("phrase").orderBy(F.desc("score2"), "doc_id"))).where(F.col("rank") <= most)
@@ -56,28 +92,47 @@ def _subsumed(sig: tuple, docs: set, chosen: list[tuple[tuple, set]]) -> bool:
     return False
 
 
-def selected(spark: SparkSession, events: DataFrame, index: DataFrame, pages: DataFrame, most: int = 90, most_sources: int = 6) -> DataFrame:
+def selected(spark: SparkSession, events: DataFrame, index: DataFrame, pages: DataFrame, most: int = 90, most_sources: int = 6, step: int = 512) -> DataFrame:
     """(concept_id, phrase, title, keywords, source_count, score2, supporting_doc_ids): candidates in order of score that no chosen one subsumes.
 
-    The choice is a walk in order. The candidates come to the driver in that order, one
-    partition at a time, until ``most`` are chosen; each has 24 documents at most.
+    The choice is a walk in order. The candidates come to the driver in that order, a block
+    at a time (``step``, then four times as many, MOST_BLOCK at most), until ``most`` are chosen or
+    none is left; each has 24 documents at most. Sources are looked for where the walk gets to:
+    a block's documents alone are read, and only for candidates that are not subsumed yet.
     """
     ws = Workspace(spark, "concepts")
-    found = ws.save(candidates(events), "candidates")
-    top = ws.save(supporting(events, found, index, pages, most_sources), "supporting")
-    sources = top.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("t")).where(F.size("t") >= 2).select("phrase", F.col("t.doc_id").alias("supporting_doc_ids"))
-    docs = events.join(found.select("phrase"), "phrase", "left_semi").groupBy("phrase").agg(F.collect_set("doc_id").alias("docs"))
-    x = found.join(sources, "phrase").join(docs, "phrase").withColumns({"sig": tx.signature(F.col("phrase")), "concept_id": tx.slug(F.col("phrase")), "title": tx.titled(F.col("phrase"))})
-    ordered = x.where("concept_id <> ''").orderBy(F.desc("score2"), F.desc(F.size(F.split("phrase", " "))), "phrase")
+    p = F.col("phrase")
+    found = candidates(events).withColumns({"sig": tx.signature(p), "concept_id": tx.slug(p), "title": tx.titled(p), "n": F.size(F.split(p, " "))})
+    left = found = ws.save(found.where("concept_id <> ''"), "candidates")
     chosen: list[tuple[tuple, set]] = []
     rows = []
-    for r in ordered.toLocalIterator():
-        if len(rows) >= most:
+    while len(rows) < most:
+        block = ws.save(left.orderBy(F.desc("score2"), F.desc("n"), "phrase").limit(step), "block")
+        own = ws.save(events.join(F.broadcast(block.select("phrase")), "phrase", "left_semi").select("phrase", "doc_id").distinct(), "pairs")
+        block_rows = block.join(own.groupBy("phrase").agg(F.collect_set("doc_id").alias("docs")), "phrase").orderBy(F.desc("score2"), F.desc("n"), "phrase").collect()
+        if not block_rows:
+            break
+        open_ = [r for r in block_rows if not _subsumed(tuple(r["sig"]), set(r["docs"]), chosen)]
+        if open_:
+            wanted = spark.createDataFrame([(r["phrase"],) for r in open_], "phrase string")
+            pairs = ws.save(own.join(F.broadcast(wanted), "phrase", "left_semi"), "open")
+            ids = F.broadcast(pairs.select("doc_id").distinct())
+            top = supporting(pairs, wanted, index.join(ids, "doc_id", "left_semi"), pages.join(ids, "doc_id", "left_semi"), most_sources)
+            top = top.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))).alias("t")).where(F.size("t") >= 2)
+            sources = {r["phrase"]: r["ids"] for r in top.select("phrase", F.col("t.doc_id").alias("ids")).collect()}
+            for r in open_:
+                ids_ = sources.get(r["phrase"])
+                if len(rows) >= most:
+                    break
+                if ids_ is None or _subsumed(tuple(r["sig"]), set(r["docs"]), chosen):
+                    continue
+                chosen.append((tuple(r["sig"]), set(ids_)))
+                rows.append((r["concept_id"], r["phrase"], r["title"], list(dict.fromkeys(r["phrase"].split()))[:12], r["support"], r["score2"], ids_))
+        if len(block_rows) < step:
             break
-        if _subsumed(tuple(r["sig"]), set(r["docs"]), chosen):
-            continue
-        chosen.append((tuple(r["sig"]), set(r["supporting_doc_ids"])))
-        rows.append((r["concept_id"], r["phrase"], r["title"], list(dict.fromkeys(r["phrase"].split()))[:12], r["support"], r["score2"], r["supporting_doc_ids"]))
+        last, step = block_rows[-1], min(4 * step, MOST_BLOCK)
+        score2, n = F.lit(last["score2"]), F.lit(last["n"])
+        left = found.where((F.col("score2") < score2) | ((F.col("score2") == score2) & ((F.col("n") < n) | ((F.col("n") == n) & (p > F.lit(last["phrase"]))))))
     kind = dict(index.dtypes)["doc_id"]
     return spark.createDataFrame(rows, f"concept_id string, phrase string, title string, keywords array<string>, source_count long, score2 long, supporting_doc_ids array<{kind}>")
 

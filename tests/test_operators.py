@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium import queries as q, samples as sa
-from scriptorium.operators import catalog as cat, keywords as kw, neardup as nd, pages as pg, render, search as se, sync
+from scriptorium.functions import scoring as sc
+from scriptorium.operators import catalog as cat, concepts as con, keywords as kw, neardup as nd, pages as pg, render, search as se, sync
 from scriptorium.plans.components import connected_components
 from scriptorium.plans.workspace import Workspace
 from scriptorium.sources import enrich, files
@@ -229,3 +230,47 @@ def test_pdf_info_and_text_of_other_formats(spark):
     assert [tuple(r) for r in files.pdf_info(x, say).collect()] == [("a.pdf", "A B", None, None, 12)]
     texts = {r["path"]: r["text"] for r in files.with_text(x, lambda f: files.extracted(f, say)).collect()}
     assert texts == {"a.pdf": "Title:  A B\nAuthor:\nPages: 12\nTitle: again", "b.pdf": None, "c.html": "# Top\none\ntwo <3", "d.epub": "z"}
+
+
+def concept_tables(spark):
+    """Events, index and pages of documents whose titles share phrases by families of three."""
+    words = [f"w{c}x" for c in "abcdefghijklmnopqrst"]
+    titles = [" ".join((words[i // 3], words[(i // 3 + 1) % 20], words[(i // 3 + 2) % 20])) for i in range(60)]
+    rows = [(i, t, "paper", False, [], f"About {t}.", f"{t}\nAbout {t}. {t}") for i, t in enumerate(titles)]
+    ix = spark.createDataFrame(rows, "doc_id long, title string, source_class string, is_redundant boolean, keywords array<string>, summary string, search_text string")
+    said = lambda i, n: None if n == 3 else f"{titles[i]}! " * (n % 7) + f"{words[i // 3].upper()}, {words[i // 3]}. {words[i % 20]}"
+    pages = spark.createDataFrame([(i, n, "" if n == 2 else f"Line {n} of {i}", said(i, n)) for i in range(60) for n in range(5 if i % 9 else 1)], "doc_id long, page_no int, preview string, text string")
+    return con.phrase_events(ix).localCheckpoint(), ix, pages
+
+
+def test_supporting_documents_are_those_of_each_phrase_alone(spark):
+    events, ix, pages = concept_tables(spark)
+    found = con.candidates(events)
+    got = {(r["phrase"], r["doc_id"]): r["score2"] for r in con.supporting(events, found, ix, pages, 99).collect()}
+    pairs = events.select("phrase", "doc_id").distinct().join(found.select("phrase"), "phrase", "left_semi")
+    s = lambda c: sc.score2_by(F.col("phrase"), F.coalesce(c, F.lit("")))
+    f = pairs.join(ix, "doc_id").select("phrase", "doc_id", (5 * s(F.col("title")) + 3 * s(F.array_join("keywords", " ")) + 2 * s(F.col("summary")) + s(F.col("search_text"))).alias("f"))
+    p = pairs.join(pages, "doc_id").select("phrase", "doc_id", (sc.score2_by(F.col("phrase"), F.col("text")) - sc.signal_penalty2(F.col("preview"))).alias("s")).where("s > 0")
+    best = {}
+    for r in p.collect():
+        best.setdefault((r["phrase"], r["doc_id"]), []).append(r["s"])
+    want = {k: r["f"] + sum(sorted(best.get(k, []))[-2:]) for r in f.collect() if r["f"] > 0 for k in [(r["phrase"], r["doc_id"])]}
+    assert got == want and len(got) > 150
+
+
+def test_concepts_look_for_sources_only_where_the_walk_gets_to(spark, monkeypatch):
+    events, ix, pages = concept_tables(spark)
+    asked, plain = [], con.supporting
+
+    def counted(events, found, *rest):
+        asked.append(found.count())
+        return plain(events, found, *rest)
+
+    whole = con.selected(spark, events, ix, pages).collect()
+    monkeypatch.setattr(con, "supporting", counted)
+    for step in (7, 512):
+        assert con.selected(spark, events, ix, pages, step=step).collect() == whole
+    assert len(whole) >= 20 and asked
+    asked.clear()
+    assert con.selected(spark, events, ix, pages, most=3, step=4).collect() == whole[:3]
+    assert 0 < sum(asked) < con.candidates(events).count() / 2
