@@ -109,9 +109,18 @@ def noise_penalty2(preview: Column, text: Column, page_no: Column, book: Column)
 LEVELS = 6
 
 
-def levels(token: str, weight: str) -> Column:
-    """An aggregate: a topic's tokens with a weight of at least 1, 2, ... LEVELS, an array each."""
-    return F.array(*(F.collect_list(F.when(F.col(weight) >= k, F.col(token))) for k in range(1, LEVELS + 1)))
+def levels(title_terms: Column, terms: Column) -> Column:
+    """A topic's tokens with a weight of at least 1, 2, ... LEVELS, an array each: a title's tokens weigh 8, those of pages one for each time.
+
+    Of sorted tokens, those that the next one equals are the tokens with one occurrence less.
+    """
+
+    def of(m: Column, left: int) -> Column:
+        own = F.array(F.array_union(title_terms, m))
+        fewer = lambda: F.filter(m, lambda t, i: F.get(m, i + 1).eqNullSafe(t))
+        return F.concat(own, tx.let(fewer(), lambda x: of(x, left - 1))) if left > 1 else own
+
+    return tx.let(F.array_sort(terms), lambda m: of(m, LEVELS))
 
 
 def known(terms: Column, profile: Column, most: int) -> Column:

@@ -6,6 +6,7 @@ unless a function says otherwise.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
@@ -169,10 +170,21 @@ def normal_phrase(phrase: Column) -> Column:
     return F.regexp_replace(p, "^(compressible|incompressible) flow$", "$1 flows")
 
 
+def _needed(pattern: str) -> str:
+    """What stands in every match of a fixed pattern: its characters before the first that is optional or a class."""
+    head = re.match(r"[^?\[]*", pattern).group()
+    return head[:-1] if pattern[len(head):].startswith("?") else head
+
+
 def explicit_phrases(text: Column) -> Column:
-    """Matches of the fixed domain patterns, normalised, in the order of the patterns."""
-    found = [F.regexp_extract_all(text, F.lit(rf"(?i)(\b{p}\b)"), 1) for p in lx.EXPLICIT_PATTERNS]
-    return F.transform(F.flatten(F.array(*found)), normal_phrase)
+    """Matches of the fixed domain patterns, normalised, in the order of the patterns; only texts that can hold one are searched."""
+
+    def of(t: Column) -> Column:
+        found = [F.regexp_extract_all(t, F.lit(rf"(?i)(\b{p}\b)"), 1) for p in lx.EXPLICIT_PATTERNS]
+        some = let(F.lower(t), lambda low: has_any(low, [_needed(p) for p in lx.EXPLICIT_PATTERNS]))
+        return F.when(t.isNull() | some, F.transform(F.flatten(F.array(*found)), normal_phrase)).otherwise(F.array().cast("array<string>"))
+
+    return let(text, of)
 
 
 def singular(token: Column) -> Column:
@@ -221,12 +233,24 @@ def count_where(parts: Column, test) -> Column:
     return F.size(F.filter(parts, test))
 
 
-def keyword_phrase(parts: Column, title: Column) -> Column:
-    """Whether 2 to 4 tokens can be a keyword phrase beside a title's tokens."""
-    generic = lambda t: t.isin(*lx.PHRASE_GENERIC)
-    edge = lambda t: generic(t) & ~t.isin(*lx.PHRASE_EDGES)
-    topical = count_where(parts, lambda t: t.isin(*lx.DOMAIN_TOKENS) | F.array_contains(title, t))
-    return F.size(parts).between(2, 4) & ~edge(F.get(parts, F.lit(0))) & ~edge(F.element_at(parts, -1)) & (topical > 0) & (count_where(parts, lambda t: ~generic(t)) >= 2)
+def keyword_phrases(parts: Column, title: Column) -> Column:
+    """The distinct phrases of 2 to 4 tokens that can be keyword phrases beside a title's tokens, as texts; those of two tokens come first.
+
+    What a token is by itself is found once, not in each phrase that holds it.
+    """
+
+    def marked(t: Column) -> Column:
+        generic = t.isin(*lx.PHRASE_GENERIC)
+        return F.struct(t.alias("t"), generic.alias("generic"), (generic & ~t.isin(*lx.PHRASE_EDGES)).alias("edge"), (t.isin(*lx.DOMAIN_TOKENS) | F.array_contains(title, t)).alias("topical"))
+
+    def valid(g: Column) -> Column:
+        return ~F.get(g, F.lit(0))["edge"] & ~F.element_at(g, -1)["edge"] & F.exists(g, lambda m: m["topical"]) & (count_where(g, lambda m: ~m["generic"]) >= 2)
+
+    def of(m: Column) -> Column:
+        runs = lambda n: F.when(F.size(m) >= n, F.transform(F.sequence(F.lit(0), F.size(m) - n), lambda i: F.slice(m, i + 1, n))).otherwise(F.slice(F.array(m), 1, 0))
+        return F.array_distinct(F.transform(F.filter(F.flatten(F.array(*(runs(n) for n in (2, 3, 4)))), valid), lambda g: F.array_join(g["t"], " ")))
+
+    return let(F.transform(parts, marked), of)
 
 
 def phrase_score2(parts: Column, title: Column, book: bool = False) -> Column:

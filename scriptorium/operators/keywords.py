@@ -26,33 +26,41 @@ def generic(titles: DataFrame, pages: DataFrame, most: int = MOST) -> DataFrame:
     return counted.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "keyword", "weight", "rank")
 
 
+def topic_terms(pages: DataFrame, book: bool = False) -> DataFrame:
+    """(doc_id, terms): informative tokens, repeats included, of the first 2000 characters of each clean page with at least 120."""
+    body = clean_pages(pages, 80 if book else 20, book=book).select("doc_id", tx.compact(F.col("text")).alias("t")).where(F.length("t") >= 120)
+    return body.select("doc_id", tx.informative_tokens(F.substring("t", 1, 2000)).alias("terms"))
+
+
 def topic_profile(titles: DataFrame, pages: DataFrame, book: bool = False) -> DataFrame:
     """(doc_id, token, weight): informative tokens of title (8) and of the first 2000 characters of clean pages with at least 120."""
-    head = titles.select("doc_id", F.lit(8).alias("w"), F.col("title").alias("t")).where("t is not null")
-    body = clean_pages(pages, 80 if book else 20, book=book).select("doc_id", F.lit(1).alias("w"), tx.compact(F.col("text")).alias("t")).where(F.length("t") >= 120)
-    events = head.union(body.withColumn("t", F.substring("t", 1, 2000))).select("doc_id", "w", F.explode(tx.informative_tokens(F.col("t"))).alias("token"))
+    head = titles.where("title is not null").select("doc_id", F.lit(8).alias("w"), tx.informative_tokens(F.col("title")).alias("terms"))
+    body = topic_terms(pages, book).select("doc_id", F.lit(1).alias("w"), "terms")
+    events = head.union(body).select("doc_id", "w", F.explode("terms").alias("token"))
     return events.groupBy("doc_id", "token").agg(F.sum("w").alias("weight"))
 
 
 def phrase_events(texts: DataFrame, keys: list[str], weight2: int, book: bool = False) -> DataFrame:
     """(keys, phrase, w2): each valid phrase of 2 to 4 tokens of a text once, with twice its weight and score. texts has keys, t, title (tokens)."""
-    parts = tx.phrase_tokens(F.col("t"))
-    x = texts.select(*keys, "title", parts.alias("p"))
-    grams = F.array_distinct(F.filter(F.flatten(F.array(*(tx.ngrams(F.col("p"), n) for n in (2, 3, 4)))), lambda g: tx.keyword_phrase(g, F.col("title"))))
-    x = x.select(*keys, "title", F.explode(grams).alias("g"))
-    return x.select(*keys, F.array_join("g", " ").alias("phrase"), (F.lit(weight2) + tx.phrase_score2(F.col("g"), F.col("title"), book)).alias("w2"))
+    x = texts.select(*keys, "title", F.explode(tx.keyword_phrases(tx.phrase_tokens(F.col("t")), F.col("title"))).alias("phrase"))
+    score = tx.let(F.split("phrase", " "), lambda g: tx.phrase_score2(g, F.col("title"), book))
+    return x.select(*keys, "phrase", (F.lit(weight2) + score).alias("w2"))
 
 
 def ranked(events: DataFrame, keys: list[str], most: int, normalise: bool = True, skip: bool = False) -> DataFrame:
     """(keys, phrase, rank): phrases by weight, then words, then alphabet; one per signature, of four words at most, no weak single word."""
     sums = events.groupBy(*keys, "phrase").agg(F.sum("w2").alias("w2"))
     n_words = lambda p: F.size(F.split(p, " "))
-    x = sums.withColumns({"raw": F.col("phrase"), "phrase": tx.normal_phrase(F.col("phrase")) if normalise else F.col("phrase")})
-    ok = (n_words(F.col("phrase")) <= 4) & ~((n_words(F.col("phrase")) == 1) & F.col("phrase").isin(*lx.SUMMARY_GENERIC, *lx.WEAK_KEYWORDS))
-    if skip:
-        ok = ok & ~F.col("phrase").isin(*lx.SKIPPED_KEYWORDS)
+
+    def ok(p: Column) -> Column:
+        good = (n_words(p) <= 4) & ~((n_words(p) == 1) & p.isin(*lx.SUMMARY_GENERIC, *lx.WEAK_KEYWORDS))
+        return good & ~p.isin(*lx.SKIPPED_KEYWORDS) if skip else good
+
+    # exploded, so that a phrase is normalised once and not again in each condition
+    normal = tx.normal_phrase(F.col("raw")) if normalise else F.col("raw")
+    x = sums.withColumnRenamed("phrase", "raw").select(*keys, "w2", "raw", F.explode(F.filter(F.array(normal), ok)).alias("phrase"))
     order = [F.desc("w2"), F.desc(n_words(F.col("raw"))), F.col("raw")]
-    x = x.where(ok).withColumn("sig", tx.plural_signature(F.col("phrase")))
+    x = x.withColumn("sig", tx.plural_signature(F.col("phrase")))
     x = x.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "sig").orderBy(*order))).where("nth = 1")
     return x.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= most).select(*keys, "phrase", "rank")
 
@@ -94,6 +102,29 @@ def chapter(chapters: DataFrame, pages: DataFrame, most: int = 10) -> DataFrame:
     return ranked(events, keys, most, normalise=False, skip=True)
 
 
+def _book_heads(preview: Column, page_no: Column, terms: Column) -> Column:
+    """(once, phrase, w2) of what a page's preview says, the preview read once. once: 1 for shown and 2 for named phrases, else 0."""
+    priority = lambda p: p.isin(*lx.PRIORITY_KEYWORDS)
+    event = lambda once, p, w: F.struct(F.lit(once).alias("once"), p.alias("phrase"), w.cast("int").alias("w2"))
+    one = lambda cond, e: F.filter(F.array(e), lambda _: cond)
+
+    def of(clean: Column, head: Column, p: Column) -> Column:
+        domain = tx.count_where(p, lambda w: w.isin(*lx.DOMAIN_TOKENS))
+        generic_ = tx.count_where(p, lambda w: w.isin(*lx.PHRASE_GENERIC))
+        sized, titled = F.size(p).between(2, 6), F.arrays_overlap(p, terms)
+        weight = F.when(titled, 20).otherwise(0) + F.when(domain >= 2, 16).otherwise(0)
+        shown = F.array_join(p, " ")
+        said = F.transform(tx.explicit_phrases(clean), tx.normal_phrase)
+        parts = F.concat(
+            one(sized & ((domain > 0) | titled), event(1, shown, F.when(priority(shown), 40).otherwise(24))),
+            one(sized & (page_no <= 140) & ~head.isin(*lx.SKIPPED_KEYWORDS) & (generic_ < F.size(p) - 1) & (weight > 0), event(0, head, weight)),
+            tx.let(said, lambda n: F.concat(F.transform(n, lambda q: event(2, q, F.lit(32))), F.transform(F.filter(n, priority), lambda q: event(0, q, F.lit(20))))),
+        )
+        return F.when((clean != "") & ~sc.preview_is_noisy(clean), parts)
+
+    return tx.let(tx.clean_preview(preview), lambda clean: tx.let(tx.normal_phrase(clean), lambda head: tx.let(tx.phrase_tokens(head), lambda p: of(clean, head, p))))
+
+
 def book(titles: DataFrame, pages: DataFrame, most: int = MOST) -> DataFrame:
     """(doc_id, phrase, rank) from a book's title, previews, headings and explicit phrases."""
     t = titles.select("doc_id", "title", F.array_distinct(tx.phrase_tokens(F.coalesce("title", F.lit("")))).alias("terms"))
@@ -104,20 +135,11 @@ def book(titles: DataFrame, pages: DataFrame, most: int = MOST) -> DataFrame:
     said = t.select("doc_id", F.explode(F.transform(tx.explicit_phrases(F.col("title")), tx.normal_phrase)).alias("p"))
     events.append(event(said, F.col("p"), F.lit(28)))
 
-    x = pages.join(t.select("doc_id", "terms"), "doc_id").withColumn("clean", tx.clean_preview(F.col("preview")))
-    x = x.withColumn("usable", (F.col("clean") != "") & ~sc.preview_is_noisy(F.col("clean")))
-    x = x.withColumn("head", tx.normal_phrase(F.col("clean"))).withColumn("p", tx.phrase_tokens(F.col("head")))
-    domain = tx.count_where(F.col("p"), lambda w: w.isin(*lx.DOMAIN_TOKENS))
-    titled = F.arrays_overlap("p", "terms")
-    sized = F.size("p").between(2, 6)
-    shown = x.where(F.col("usable") & sized & ((domain > 0) | titled)).select("doc_id", F.array_join("p", " ").alias("phrase")).distinct()
-    events.append(event(shown, F.col("phrase"), F.when(priority(F.col("phrase")), 40).otherwise(24)))
-    named = x.where("usable").select("doc_id", F.explode(F.transform(tx.explicit_phrases(F.col("clean")), tx.normal_phrase)).alias("p"))
-    events.append(event(named.distinct(), F.col("p"), F.lit(32)))
-    events.append(event(named.where(priority(F.col("p"))), F.col("p"), F.lit(20)))
-    generic_ = tx.count_where(F.col("p"), lambda w: w.isin(*lx.PHRASE_GENERIC))
-    heads = x.where(F.col("usable") & sized & (F.col("page_no") <= 140) & ~F.col("head").isin(*lx.SKIPPED_KEYWORDS) & (generic_ < F.size("p") - 1))
-    events.append(event(heads, F.col("head"), F.when(titled, 20).otherwise(0) + F.when(domain >= 2, 16).otherwise(0)).where("w2 > 0"))
+    x = pages.join(t.select("doc_id", "terms"), "doc_id")
+    x = x.select("doc_id", F.explode(_book_heads(F.col("preview"), F.col("page_no"), F.col("terms"))).alias("e")).select("doc_id", "e.*")
+    # shown and named phrases count once for each book
+    x = x.groupBy("doc_id", "once", "phrase").agg(F.sum("w2").alias("sum"), F.max("w2").alias("one"))
+    events.append(event(x, F.col("phrase"), F.when(F.col("once") > 0, F.col("one")).otherwise(F.col("sum"))))
 
     body, low = tx.compact(F.col("text")), F.lower(tx.compact(F.col("preview")))
     front = (low == "preface") | low.startswith("contents") | low.contains("plan of this book")
@@ -128,5 +150,5 @@ def book(titles: DataFrame, pages: DataFrame, most: int = MOST) -> DataFrame:
     events.append(event(y, F.col("p"), weight))
     out = events[0]
     for e in events[1:]:
-        out = out.union(e.withColumn("w2", F.col("w2").cast("int")))
+        out = out.union(e.withColumn("w2", F.col("w2").cast("long")))
     return ranked(out, ["doc_id"], most, skip=True)

@@ -14,9 +14,10 @@ def _profiles(titles: DataFrame, pages: DataFrame, keys: list[str], book: bool =
     """(keys, title, title_terms, profile: the topic's tokens by levels of weight)."""
     head = titles.withColumn("doc_id", F.struct(*keys)) if keys != ["doc_id"] else titles
     body = pages.withColumn("doc_id", F.struct(*keys)) if keys != ["doc_id"] else pages
-    p = kw.topic_profile(head, body, book).groupBy("doc_id").agg(sc.levels("token", "weight").alias("profile"))
+    # a row per page and not per token goes to its document
+    p = kw.topic_terms(body, book).groupBy("doc_id").agg(F.flatten(F.collect_list("terms")).alias("terms"))
     x = head.select("doc_id", "title", F.array_distinct(tx.informative_tokens(F.coalesce("title", F.lit("")))).alias("title_terms")).join(p, "doc_id", "left")
-    x = x.withColumn("profile", F.coalesce("profile", F.array(*(F.array().cast("array<string>") for _ in range(sc.LEVELS)))))
+    x = x.select("doc_id", "title", "title_terms", sc.levels(F.col("title_terms"), F.coalesce("terms", F.array().cast("array<string>"))).alias("profile"))
     return x.select("doc_id.*", "title", "title_terms", "profile") if keys != ["doc_id"] else x
 
 

@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,3 +275,24 @@ def test_concepts_look_for_sources_only_where_the_walk_gets_to(spark, monkeypatc
     asked.clear()
     assert con.selected(spark, events, ix, pages, most=3, step=4).collect() == whole[:3]
     assert 0 < sum(asked) < con.candidates(events).count() / 2
+
+
+def test_levels_of_a_topic_are_the_tokens_by_weight(spark):
+    rows = [(["t"], ["a", "b", "a", "t", "c", "a", "b"] + ["d"] * 9), ([], []), (["t", "u"], []), ([], ["x"])]
+    got = spark.createDataFrame(rows, "title array<string>, terms array<string>").select("title", "terms", sc.levels(F.col("title"), F.col("terms")).alias("l")).collect()
+    for r in got:
+        weights = Counter(r["terms"]) + Counter({t: 8 for t in r["title"]})
+        assert [sorted(x) for x in r["l"]] == [sorted(t for t, n in weights.items() if n >= k) for k in range(1, sc.LEVELS + 1)]
+
+
+def test_previews_of_a_book_and_phrases_are_normalised_once(spark):
+    t = spark.createDataFrame([(1, "Finite volume methods", None)], "doc_id long, title string, author string")
+    said = ["Chapter 1 Finite volume methods", "2.1 Turbulence models of flow", "Preface", None, "Boundary conditions", "Boundary conditions", "The SIMPLE method"]
+    p = spark.createDataFrame([(1, i, x, f"{x} " + "boundary conditions and OpenCL in the finite difference method " * 4) for i, x in enumerate(said, 1)], "doc_id long, page_no int, preview string, text string")
+    book, paper = kw.book(t, p), kw.paper(t, p)
+    assert [r["phrase"] for r in book.orderBy("rank").collect()] == [
+        "finite difference method", "opencl", "finite volume method", "turbulence models", "turbulence models flow", "turbulence models of flow", "the simple method",
+    ]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(book).count("(?iU)^chapter") == 1  # of clean_preview
+    assert plan(paper).count("turbulence with models") == 1  # of normal_phrase
