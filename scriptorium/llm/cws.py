@@ -2,11 +2,18 @@
 
 A text's terms are its lower-case words between spaces, tabs, line breaks and form feeds; a term's weight w is its
 count. For sample j a hash of the term gives r and c, both Gamma(2, 1), and b, uniform
-on [0, 1): t = floor(ln w / r + b), and the term's value is c exp(-r (t - b + 1)). The
+on [0, 1): t = floor(ln w / r + b), and the term's value is a = c exp(-r (t - b + 1)). The
 sample is the term of least value with its t. Two texts agree in a sample with a
-probability equal to the generalised Jaccard similarity of their weights. A Gamma value is
-the sum of two exponential ones. A sample is kept as one 64-bit integer, the logarithm of
-the value above 32 bits that identify term and t, so a minimum of integers finds it.
+probability equal to the generalised Jaccard similarity of their weights.
+
+The numbers are drawn by their parts. A Gamma(2, 1) value times an independent uniform one
+and the rest of it are independent exponential values: c = x + y and r = s + q with
+s = r b, and x = c exp(-q) gives q = ln(1 + y / x). So three exponential values x, y, s make
+r, c and b, t = floor((ln w + s) / r) and a = x exp(-r t). A term that occurs once has t = 0
+and a = x, which is least where a hash is least: it needs no logarithm. t is more than 0
+only where y <= (w - 1) x. A sample is kept as one 64-bit integer, 1 - exp(-a) in 32 bits
+above 32 bits that identify term and t, so a minimum of integers finds it. In a text of n
+words, about n in 2**32 samples have two terms of equal value; the lower 32 bits decide.
 
 Each document is compared with the next in descending order of id and with its edited
 text, whose second half is the start of that next document. The documents are dealt to
@@ -36,12 +43,18 @@ SAMPLES, LANE = 64, 4
 #: Rows in a range, about; bounds of ranges on the driver at most; partitions of the texts per configured shuffle partition.
 RANGE, BOUNDS, SPLIT = 256, 512, 4
 NULL_KEY = -(2**63)
+#: The bits of a sample that identify its term and t; those above are its value.
+MARK = 2**32 - 1
+
 
+def _uniform(h: Column, shift: int) -> Column:
+    """A number between 0 and 1 from 32 bits of a hash."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(MARK).cast("double") + 0.5) * 2.0**-32
 
-def _gamma(h: Column, shift: int) -> Column:
-    """A Gamma(2, 1) value from 32 bits of a hash: the sum of two exponentials."""
-    u = lambda s: (F.shiftrightunsigned(h, s).bitwiseAND(65535).cast("double") + 0.5) * 2.0**-16
-    return -F.log(u(shift) * u(shift + 16))
+
+def _least(h: Column) -> Column:
+    """A number between 0 and 1 from the upper 32 bits of a hash, in the order of signed hashes."""
+    return (F.shiftright(h, 32).cast("double") + (2.0**31 + 0.5)) * 2.0**-32
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -91,27 +104,32 @@ def terms(text: Column) -> Column:
 
 
 def samples(counted: DataFrame, keys: list[str], weights: dict[str, str], k: int = SAMPLES) -> DataFrame:
-    """counted: (keys, term long, a count per weight column). One row per keys: for each name in weights an array of k samples (null without terms).
+    """counted: (keys, term long, a count, so a whole number, per weight column). One row per keys: for each name in weights an array of k samples (null without terms).
 
-    The term's random numbers are drawn once for all weight columns. Each term is taken once
-    for each ``LANE`` samples: aggregates of more columns make code that the JVM leaves interpreted.
+    The term's random numbers are drawn once for all weight columns, and those of t only where t can be more
+    than 0. Each term is taken once for each ``LANE`` samples: aggregates of more columns make code that the JVM
+    leaves interpreted.
     """
     lanes = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(k / LANE) - 1))).alias("lane")
-    x = counted.select(*keys, "term", *(F.when(F.col(w) > 0, F.log(F.col(w).cast("double"))).alias(f"ln_{name}") for name, w in weights.items()), lanes)
+    x = counted.select(*keys, "term", *(F.col(w).alias(f"w_{name}") for name, w in weights.items()), F.greatest(*weights.values(), F.lit(0)).alias("most"), lanes)
+    of = lambda f: {f"{v}{i}": e for i in range(LANE) for v, e in f(i, F.col("lane") * LANE + i).items()}
+    x = x.withColumns(of(lambda i, j: {"h": F.xxhash64("term", j), "g": F.when(F.col("most") > 1, F.xxhash64("term", -1 - j))}))
+    x = x.withColumns(of(lambda i, j: {"x": F.when(F.col("most") > 1, -F.log1p(-_least(F.col(f"h{i}")))), "y": -F.log(_uniform(F.col(f"g{i}"), 0))}))
+    x = x.withColumns(of(lambda i, j: {"s": F.when(F.col(f"y{i}") <= (F.col("most") - 1) * F.col(f"x{i}"), -F.log(_uniform(F.col(f"g{i}"), 32)))}))
+    x = x.withColumns(of(lambda i, j: {"r": F.col(f"s{i}") + F.log1p(F.col(f"y{i}") / F.col(f"x{i}"))}))
+    for name in weights:
+        w = F.col(f"w_{name}")
+        x = x.withColumns(of(lambda i, j, w=w, name=name: {f"t_{name}": F.when((w > 1) & F.col(f"r{i}").isNotNull(), F.floor((F.log(w.cast("double")) + F.col(f"s{i}")) / F.col(f"r{i}")))}))
     aggs = []
     for name in weights:
         for i in range(LANE):
-            j = F.col("lane") * LANE + i
-            h = F.xxhash64("term", j)
-            r = _gamma(h, 0)
-            g = F.xxhash64("term", -1 - j)
-            c = _gamma(g, 0)
-            b = (F.shiftrightunsigned(h, 32).cast("double") + F.shiftrightunsigned(g, 32).cast("double") * 2.0**-32) * 2.0**-32
-            t = F.floor(F.col(f"ln_{name}") / r + b)
-            value = F.log(c) - r * (t.cast("double") - b + 1.0)
+            t = F.col(f"t_{name}{i}")
+            once = F.col(f"h{i}").bitwiseAND(~MARK).bitwiseOR(F.col("term").bitwiseAND(MARK))
+            value = F.floor(-F.expm1(-F.col(f"x{i}") * F.exp(-F.col(f"r{i}") * t)) * 2.0**32) - 2**31
             # an odd factor: a term's values of t have different marks
-            mark = F.col("term").bitwiseXOR(t * F.lit(0x9E3779B1)).bitwiseAND(2**32 - 1)
-            aggs.append(F.min(F.shiftleft(((value + 64.0) * 2.0**24).cast("long"), 32).bitwiseOR(mark)).alias(f"{name}{i}"))
+            mark = F.col("term").bitwiseXOR(t.bitwiseAND(2**31 - 1) * F.lit(0x9E3779B1)).bitwiseAND(MARK)
+            more = F.shiftleft(value, 32).bitwiseOR(mark)
+            aggs.append(F.min(F.when(F.col(f"w_{name}") > 0, F.when(t > 0, more).otherwise(once))).alias(f"{name}{i}"))
     each = x.groupBy(*keys, "lane").agg(*aggs)
     parts = F.struct("lane", *(F.array(*(F.col(f"{name}{i}") for i in range(LANE))).alias(name) for name in weights))
     out = each.groupBy(*keys).agg(F.array_sort(F.collect_list(parts)).alias("s"))

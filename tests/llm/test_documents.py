@@ -118,6 +118,8 @@ def test_quality_of_odd_rows(spark):
 
 # fingerprints
 
+MARK = 2**32 - 1
+
 
 def test_fingerprints(spark):
     rnd = random.Random(9)
@@ -149,6 +151,52 @@ def test_fingerprints(spark):
     assert cws.fingerprints(spark, docs.where("doc_id = 405")).first()["near_next"] == 1.0
 
 
+def test_samples_are_those_of_the_method(spark):
+    """Against the formula with r, c and b: t = floor(ln w / r + b), the least c exp(-r (t - b + 1)); and a term that occurs once is drawn by one hash alone."""
+    rnd = random.Random(4)
+    counts = {n: (rnd.choice([0, 1, 1, 1, 2, 3, 9]), rnd.choice([0, 1, 1, 2, 2, 5, 700])) for n in range(60)}
+    counts[3] = (1, 10**9)
+    counted = spark.createDataFrame([(7, n, a, b) for n, (a, b) in counts.items()], "id long, n long, own long, other long").withColumn("term", F.xxhash64("n"))
+    hashes = counted.crossJoin(spark.range(64).select(F.col("id").cast("int").alias("j"))).select("n", "term", "j", F.xxhash64("term", "j").alias("h"), F.xxhash64("term", -1 - F.col("j")).alias("g")).collect()
+    got = cws.samples(counted, ["id"], {"a": "own", "e": "other"}).first()
+    best, seen = {}, set()
+    for r in hashes:
+        x, y, s = -np.log1p(-((r["h"] >> 32) + 2**31 + 0.5) / 2**32), -np.log(((r["g"] & MARK) + 0.5) / 2**32), -np.log((((r["g"] >> 32) & MARK) + 0.5) / 2**32)
+        step, c = s + np.log1p(y / x), x + y
+        for name, w in zip("ae", counts[r["n"]]):
+            if w:
+                t = int(np.floor(np.log(w) / step + s / step))
+                seen.add((w > 1, t > 0))
+                value = np.log(c) - step * (t - s / step + 1)
+                best[name, r["j"]] = min(best.get((name, r["j"]), (np.inf, 0)), (value, (r["term"] ^ (t * 0x9E3779B1)) & MARK))
+    assert seen == {(False, False), (True, False), (True, True)}
+    for name in "ae":
+        assert [x & MARK for x in got[name]] == [best[name, j][1] for j in range(64)]
+    once = cws.samples(counted.select("id", "term", F.lit(1).alias("w")), ["id"], {"a": "w"}).first()["a"]
+    assert once == [min((r["h"] & ~MARK) | (r["term"] & MARK) for r in hashes if r["j"] == j) for j in range(64)]
+
+
+def test_samples_agree_as_often_as_weights_are_alike(spark):
+    rnd = random.Random(5)
+    for high in (1, 2, 40):
+        counts = [(rnd.randrange(high + 1), rnd.randrange(high + 1)) for _ in range(40)]
+        counted = spark.createDataFrame([(0, n, a, b) for n, (a, b) in enumerate(counts)], "id long, n long, own long, other long").withColumn("term", F.xxhash64("n"))
+        got = cws.samples(counted, ["id"], {"a": "own", "e": "other"}, 4096).first()
+        assert len(got["a"]) == len(got["e"]) == 4096
+        like = sum(min(c) for c in counts) / sum(max(c) for c in counts)
+        assert abs(np.mean([a == e for a, e in zip(got["a"], got["e"])]) - like) < 0.03
+
+
+def test_code_of_samples_is_compiled(spark):
+    """The JVM leaves methods of more than 8000 bytes interpreted."""
+    counted = spark.range(9).select("id", F.xxhash64("id").alias("term"), F.col("id").alias("own"), (9 - F.col("id")).alias("other"))
+    df = cws.samples(counted, ["id"], {"a": "own", "e": "other"})
+    df.collect()  # the last plan is known then
+    made = df._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())]
+    assert sizes and max(sizes) < 8000
+
+
 # chat
 
 
